@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality_rules, secret_scan, simhash_dedup
+from . import chat_format, common, decontaminate, html_extract, language_id, license_scan, packing, quality_rules, secret_scan, simhash_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality_stats.{c}" for c in quality_rules.COUNTS), "base_failed", "kept", "quality_rule")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, paragraph or line that is a known licence text or notice: other documents have no row."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "unit", "ordinal")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out; rejected marks scores below the threshold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    told = language_id.predict(docs.select("doc_id", "text"), model).drop("text")
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document, with counts and a digest of the base spans."""
     found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -29,11 +42,68 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count("guess"))
 
 
+#: The conversation that every run formats besides the table's own.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, then read back from the formatted string and its loss spans."""
+    probe = spark.createDataFrame(PROBE, "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    made = chat_format.format_chats(rows).withColumns({"turns": chat_format.read_turns(F.col("formatted")), "loss": chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return made.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP5_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped as (
+  select *, lag(role) over w is distinct from role as opens,
+    length(role) + len(regexp_extract_all(role, '\\|<\|[A-Za-z_0-9]+\|>|</?s>|\[/?INST\]|<</?SYS>>')) as role_chars,
+    length(text) + len(regexp_extract_all(text, '\\|<\|[A-Za-z_0-9]+\|>|</?s>|\[/?INST\]|<</?SYS>>')) as text_chars
+  from rows window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(text_chars + case when opens then 12 + role_chars + 10 + 10 else 11 end)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048: one row for each piece."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives, then read back from them."""
+    path = common.scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, with_payload=False).drop("url")
+
+
+OP7_SQL = """
+with rows as (select page_id, encode(coalesce(html, '')) as payload from pages),
+told as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from rows),
+heads as (select payload_digest, max(page_id) as largest from told where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when largest > page_id then 'revisit' else 'response' end as record_type,
+  case when largest > page_id then largest end as refers_to
+from told left join heads using (payload_digest)
+"""
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_dedup.cluster(table(spark, sf_dir, "documents"))
@@ -46,8 +116,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_secret_scans, op6_packing, op9_simhash_near_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_language_id, op4_secret_scans, op5_chat_formatting, op6_packing, op7_warc, op8_html_extraction, op9_simhash_near_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scans": license_scan.sql(), "op5_chat_formatting": OP5_SQL, "op7_warc": OP7_SQL}
