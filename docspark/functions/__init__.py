@@ -1 +1,5 @@
+"""Column functions."""
 
+from . import geometry, text
+
+__all__ = ["geometry", "text"]

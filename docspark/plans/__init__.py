@@ -1,11 +1,16 @@
 """Registered queries over the document operators, with the SQL that each is held against."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import chunk_queries  # noqa: F401  registers
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "chunk_documents"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
