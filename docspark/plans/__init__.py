@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_queries  # noqa: F401  registers
+from . import chunk_queries, function_queries, policy_queries  # noqa: F401  each registers its own
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "chunk_documents"
