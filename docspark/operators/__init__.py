@@ -1 +1 @@
-
+"""Operators: DataFrame in, DataFrame out, keyed by document and page."""

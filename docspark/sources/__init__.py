@@ -1 +1,5 @@
+"""Sources and sinks."""
 
+from .pdf import from_binary, parsed_tables, read_pdfs, read_pdfs_stream, register_data_source, validate
+
+__all__ = ["from_binary", "parsed_tables", "read_pdfs", "read_pdfs_stream", "register_data_source", "validate"]
