@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LINES_PER_PAGE, TOP, STEP, LEFT = 40, 740.0, 18.0, 72.0
 SIZES = ((17, 22.0), (9, 16.0))  # every 17th line is a chapter, every 9th a section
@@ -39,20 +39,32 @@ def synthetic_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     )
 
 
-def word_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", cells: int = 0) -> DataFrame:
-    """A run for each word of a line, side by side; with cells, every so many words a gap as wide as a table's."""
-    size = F.lit(BODY)
-    words = text_lines(docs, id=id, text=text).select("doc_id", "line_no", F.posexplode(F.filter(F.split("line", " +"), lambda w: w != "")).alias("word_no", "word"))
+def word_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A run for each word of a line, side by side."""
+    words = text_lines(docs, id=id, text=text).select("doc_id", "line_no", F.posexplode(F.filter(F.split("line", " +"), lambda w: w != "")).alias("word_no", "text"))
     n = F.col("line_no")
-    y = F.lit(TOP) - STEP * (n % LINES_PER_PAGE)
-    slot = F.col("word_no") * 400.0 if cells else None
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", "line_no").orderBy("word_no")
-    before = F.coalesce(F.sum(F.length("word") * 0.5 * size + 5.5).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x0 = LEFT + (slot if slot is not None else before)
-    kept = words.where(F.col("word_no") < cells) if cells else words
-    return kept.select(
-        "doc_id", (F.floor(n / LINES_PER_PAGE) + 1).cast("int").alias("page"), (n * 100_000 + F.col("word_no")).cast("bigint").alias("run_ix"), F.col("word").alias("text"),
-        x0.alias("x0"), y.alias("y0"), (x0 + F.length("word") * 0.5 * size).alias("x1"), (y + size).alias("y1"), size.alias("font_size"), F.lit(None).cast("bigint").alias("mcid"),
+    w = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    x0 = LEFT + F.coalesce(F.sum(F.length("text") * 0.5 * BODY + 5.5).over(w), F.lit(0.0))
+    return _body_runs(words, (F.floor(n / LINES_PER_PAGE) + 1), n * 1_000_000 + F.col("word_no"), x0, TOP - STEP * (n % LINES_PER_PAGE))
+
+
+GRID_COLUMNS, GRID_ROWS, GRID_STEP = 3, 4, 2000.0
+
+
+def grid_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All words of a text as table cells of one width: three in a row, the last row filled with dashes, four rows on a page."""
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    full = docs.select(F.col(id).alias("doc_id"), words.alias("w")).select("doc_id", F.concat("w", F.array_repeat(F.lit("-"), F.pmod(-F.size("w"), F.lit(GRID_COLUMNS)))).alias("w"))
+    rows = full.select("doc_id", F.posexplode("w").alias("k", "text"))
+    k = F.col("k")
+    row = F.floor(k / GRID_COLUMNS)
+    return _body_runs(rows, F.floor(row / GRID_ROWS) + 1, k, LEFT + GRID_STEP * (k % GRID_COLUMNS), TOP - STEP * (row % GRID_ROWS), F.lit(GRID_STEP / 2))
+
+
+def _body_runs(rows: DataFrame, page: Column, ix: Column, x0: Column, y: Column, width: Column | None = None) -> DataFrame:
+    size = F.lit(BODY)
+    width = F.length("text") * 0.5 * size if width is None else width
+    return rows.select(
+        "doc_id", page.cast("int").alias("page"), ix.cast("bigint").alias("run_ix"), "text", x0.cast("double").alias("x0"), y.cast("double").alias("y0"),
+        (x0 + width).alias("x1"), (y + size).alias("y1"), size.alias("font_size"), F.lit(None).cast("bigint").alias("mcid"),
     )
