@@ -267,5 +267,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", rate: fl
     spark = docs.sparkSession
     bounded_batches(spark)
     for ids, texts in blocks(benchmark, "item_id", "text", block_bytes):
-        docs = docs.withColumn("_found", _udf(spark.sparkContext.broadcast((ids, texts, rate)))(F.col(text))).where(F.size("_found") == 0).drop("_found")
+        found = _udf(spark.sparkContext.broadcast((ids, texts, rate)))(F.col(text))
+        docs = docs.where(F.size(found) == 0)
     return docs

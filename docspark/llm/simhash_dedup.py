@@ -179,11 +179,30 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
 
 def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component): one row per row of docs, component the smallest id reachable."""
-    spark = docs.sparkSession
-    marked = materialize(spark, with_fingerprint(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), to="fp").select("doc_id", "fp"), "fingerprints")
+    marked = materialize(docs.sparkSession, with_fingerprint(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), to="fp").select("doc_id", "fp"), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct))
-    of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    of = _rooted(distinct)
     smallest = of.groupBy("root").agg(F.min("first").alias("component"))
     linked = of.join(smallest, "root").select(F.col("fp").alias("_fp"), "component")
     return marked.join(linked, marked.fp == linked._fp).select(F.col("doc_id").alias(id), "fp", "component")
+
+
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """Rows of distinct fingerprints (fp, first) with the root of their component."""
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that of the smallest id (null only where all are), of rows that share it that of the least text hash.
+
+    A row is named by its id and a hash of its text. Equal rows become one before their texts are shuffled, so rows
+    repeated any number of times are no hot key; the rows to keep then meet the texts where that shuffle put them."""
+    spark = docs.sparkSession
+    name = {"_id0": F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)), "_key": F.xxhash64(F.col(id).isNull(), F.col(text))}
+    own = docs.select(F.col(id).isNull().alias("_null"), *(c.alias(k) for k, c in name.items()), F.col(text).alias("text"))
+    marked = materialize(spark, with_fingerprint(own, to="fp").select("_null", "_id0", "_key", "fp"), "named-fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min(F.struct("_null", "_id0", "_key")).alias("first"))
+    kept = _rooted(distinct).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id0").alias("_k0"), F.col("first._key").alias("_k1"))
+    once = docs.withColumns(name).groupBy("_id0", "_key").agg(*(F.first(c).alias(c) for c in docs.columns))
+    return once.join(kept, (F.col("_id0") == F.col("_k0")) & (F.col("_key") == F.col("_k1")), "left_semi").select(*docs.columns)
