@@ -27,14 +27,14 @@ EQUIVALENT = [
     ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("v 3", "version 3"), ("v3", "version 3"), ("whilst", "while"), ("merchantibility", "merchantability"),
     ("non infringement", "noninfringement"), ("initialise", "initialize"), ("organisation", "organization"), ("per cent", "percent"), ("http", "https"), ("neighbouring", "neighboring"),
 ]
-COPYRIGHT = r"(?m)^[^A-Za-z0-9©\n]*(?:[Cc]opyright|COPYRIGHT|©|[Aa]ll [Rr]ights [Rr]eserved|ALL RIGHTS RESERVED)(?:[^A-Za-z\n].*)?$"
+COPYRIGHT = r"(?m)^[^A-Za-z0-9©\n]*(?:(?:\([cC]\)|©)[ \t]*(?:[Cc]opyright|COPYRIGHT|[12][0-9]{3})|[Cc]opyright|COPYRIGHT|©|[Aa]ll [Rr]ights [Rr]eserved|ALL RIGHTS RESERVED)(?:[^A-Za-z\n].*)?$"
 SIGNS = "[\\x00-/:-`{-\\x7f\\u00a0\\u00a9\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2022]+"
 _COPYRIGHT, _SIGNS, _BLANK = re.compile(COPYRIGHT), re.compile(SIGNS), re.compile(r"\n(?:[ \t\r\x0b\x0c]*\n)+")
 _SPELLING = [(f" {a} ", f" {b} ") for a, b in EQUIVALENT]
 
 
 def canonical(text: str) -> str:
-    if "opyright" in text or "OPYRIGHT" in text or "©" in text or "eserved" in text or "ESERVED" in text:
+    if "opyright" in text or "OPYRIGHT" in text or "©" in text or "(c)" in text or "(C)" in text or "eserved" in text or "ESERVED" in text:
         text = _COPYRIGHT.sub("", text)
     out = " " + _SIGNS.sub(" ", text.lower()).strip(" ") + " "
     for a, b in _SPELLING:

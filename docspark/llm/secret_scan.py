@@ -29,6 +29,11 @@ _HINTS = ("passw", "passp", "passc", "pass:", "pass=", "pass ", "pwd", "secret",
 #: log10 of the guesses from which on a value counts as a secret.
 MIN_COST = 9.0
 MIN_LENGTH = 8
+#: What a redacted span begins with.
+MARK = "[REDACTED:"
+#: A run of one character, and a keyboard walk: least length, log10 guesses, and more for each character.
+RUN_LEAST, RUN_COST, RUN_SLOPE = 3, 1.4, 0.05
+WALK_LEAST, WALK_COST, WALK_SLOPE = 4, 2.0, 0.3
 
 #: Common password words, the most usual first.
 COMMON_WORDS = """password qwerty abc letmein monkey dragon iloveyou admin welcome login master hello sunshine princess football
@@ -43,7 +48,9 @@ _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
 _LONGEST = max(map(len, COMMON_WORDS))
 _LEET = str.maketrans("4@30157$", "aaeoists")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])(?:\1(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d")
+_MONTH, _DAY = "(?:1[0-2]|0?[1-9])", "(?:3[01]|[12][0-9]|0?[1-9])"
+_DATE = re.compile(rf"(?:19|20)[0-9]{{2}}(?P<more>([-/._]?){_MONTH}(?:\2{_DAY})?)?|(?P<short>{_DAY}([-/._]?){_MONTH}\4(?:19|20)?[0-9]{{2}})")
+YEAR_COST, DATE_COST = 2.2, 4.6
 
 
 def _adjacent() -> set[tuple[str, str]]:
@@ -74,23 +81,26 @@ def guess_cost(value: str) -> float:
     n = len(value)
     best = [0.0] + [float("inf")] * n
     run = walk = 0  # where the run of one character, and the keyboard walk, that end here begin
-    dates: dict[int, list[int]] = {}
+    run_low = walk_low = float("inf")  # the least of best[s] less the part's slope times s, over the places s a run or walk may begin at
+    dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
         if m := _DATE.match(low, i):
-            dates.setdefault(m.end(), []).append(i)
+            dates.setdefault(m.end(), []).append((i, DATE_COST if m["more"] or m["short"] else YEAR_COST))
     for e in range(1, n + 1):
         i = e - 1
         low_cost = best[i] + _card(value[i])
         if i and low[i] != low[i - 1]:
-            run = i
+            run, run_low = i, float("inf")
         if i and (low[i - 1], low[i]) not in _NEXT:
-            walk = i
-        if e - run >= 3:
-            low_cost = min(low_cost, best[run] + 1.4 + 0.31 * (e - run) ** 0.5)
-        if e - walk >= 4:
-            low_cost = min(low_cost, best[walk] + 2.0 + 0.3 * (e - walk))
-        for s in dates.get(e, ()):
-            low_cost = min(low_cost, best[s] + (2.2 if e - s == 4 else 4.6))
+            walk, walk_low = i, float("inf")
+        if e - RUN_LEAST >= run:
+            run_low = min(run_low, best[e - RUN_LEAST] - RUN_SLOPE * (e - RUN_LEAST))
+            low_cost = min(low_cost, run_low + RUN_COST + RUN_SLOPE * e)
+        if e - WALK_LEAST >= walk:
+            walk_low = min(walk_low, best[e - WALK_LEAST] - WALK_SLOPE * (e - WALK_LEAST))
+            low_cost = min(low_cost, walk_low + WALK_COST + WALK_SLOPE * e)
+        for s, cost in dates.get(e, ()):
+            low_cost = min(low_cost, best[s] + cost)
         for s in range(max(0, e - _LONGEST), e - 2):
             rank = _RANK.get(low[s:e]) or (_RANK.get(plain[s:e], 0) * 4)
             if rank:
@@ -108,9 +118,11 @@ def context_values(text: str) -> list[tuple[int, int]]:
     """Values that follow a credential word, or stand as the password of a URL."""
     out, low = [], text.lower()
     if any(h in low for h in _HINTS):
-        for m in _CONTEXT.finditer(text):
+        at = 0
+        while m := _CONTEXT.search(text, at):
             k = m.lastindex or 0
             s, e = m.span(k)
+            at = max(s, m.start() + 1)  # a value may be a credential word itself, as in Authorization: Bearer
             if k == 4:
                 while e > s and text[e - 1] in ".,;:!?)]}":
                     e -= 1
@@ -146,6 +158,8 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int, int, i
     done: set[tuple[int, int]] = set()
     for s, e in context_values(text):
         value = text[s:e]
+        if value.startswith(MARK):
+            continue
         if len(value) < MIN_LENGTH or (s, e) in done or " " in value.strip() and not _mixed(value) or not _mixed(value):
             continue
         if any(s < be and bs < e for _, bs, be in base) or any(s < de and ds < e for ds, de in done):
@@ -178,7 +192,7 @@ def _redact(text: pa.Array) -> pa.Array:
             if e <= at:
                 continue
             if s >= at:
-                parts += [x[at:s], f"[REDACTED:{KINDS[k]}]"]
+                parts += [x[at:s], f"{MARK}{KINDS[k]}]"]
             at = e
         out.append(x if not at else "".join(parts) + x[at:])
     return pa.array(out, pa.string())
