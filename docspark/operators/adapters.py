@@ -28,7 +28,7 @@ def to_message_content(text: Column, images: Column) -> Column:
 
 
 def to_data_urls(images: Column) -> Column:
-    return F.transform(images, data_url)
+    return F.transform(images, lambda p: data_url(p))
 
 
 def title_chunks(chunks: DataFrame, client: Callable[[], Callable[[list[str]], list[str | None]]]) -> DataFrame:

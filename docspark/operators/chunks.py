@@ -176,3 +176,27 @@ def document_text(chunks: DataFrame) -> DataFrame:
     """(doc_id, text): the chunks' texts joined; char_start and char_len slice it."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x.text), SEPARATOR)
     return chunks.groupBy("doc_id").agg(joined.alias("text"))
+
+
+def chunk_parsed(parsed: DataFrame, *, target_tokens: int = 512, overlap_tokens: int = 0, contextual_prefix: bool = False) -> DataFrame:
+    """Nested rows of sources.pdf to finished chunks: by tags where a document has any that make blocks, else by layout.
+
+    All of a document is in its row, so nothing is shuffled."""
+    from ..core.single import chunk_parsed as of_one
+    from ..sources.pdf import NESTED
+
+    ddl = id_type(parsed)
+    extra = "id string, char_start bigint, char_len bigint, context string"
+    kinds = {"char_start": pa.int64(), "char_len": pa.int64(), "id": pa.string(), "context": pa.string()}
+
+    def of(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                made = of_one(r, target_tokens=target_tokens, overlap_tokens=overlap_tokens, contextual_prefix=contextual_prefix)
+                table = _chunks_table(r["doc_id"], made, ddl)
+                for k in ("id", "char_start", "char_len", "context"):
+                    table = table.append_column(k, pa.array([c[k] for c in made], kinds[k]))
+                yield from table.to_batches()
+
+    whole = parsed.where("error is null").select("doc_id", "meta", "tagged", *NESTED)
+    return whole.mapInArrow(of, schema.of(schema.CHUNKS, ddl) + ", " + extra)
