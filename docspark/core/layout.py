@@ -52,12 +52,19 @@ def upper_median(sizes: list[float]) -> float:
 
 
 def bucket(runs: list[tuple], column: int = 0) -> list[Line]:
-    """Runs to lines: the first line of a close baseline takes a run."""
+    """Runs to lines: the first line of a close baseline takes a run.
+
+    Lines are looked up by strips as high as the widest tolerance, so a page of many lines costs no more for each."""
     lines: list[Line] = []
+    strips: dict[int | None, list[int]] = {}
+    high = max((SAME_LINE * r[5] for r in runs if r[5] < math.inf), default=0.0) or 1.0
     for run in runs:
         text, x0, y, x1, _, size = run
-        home = next((ln for ln in lines if abs(ln.y - y) <= SAME_LINE * max(ln.size, size)), None)
+        at = math.floor(y / high) if math.isfinite(y) else None
+        near = sorted(k for s in ((at - 1, at, at + 1) if at is not None else (None,)) for k in strips.get(s, ()))
+        home = next((lines[k] for k in near if abs(lines[k].y - y) <= SAME_LINE * max(lines[k].size, size)), None)
         if home is None:
+            strips.setdefault(at, []).append(len(lines))
             lines.append(Line(text, y, x0, x1, size, cells=[[text, x0, x1]], column=column))
         else:
             home.add(run)
@@ -89,7 +96,7 @@ class Columns:
 
 def find_columns(runs: list[tuple]) -> Columns | None:
     """Vertical strips that almost no run covers part a page into columns of at least five lines each."""
-    if not runs:
+    if len({r[2] for r in runs}) < MIN_COLUMN_LINES:  # too few baselines for any column
         return None
     x_min, x_max = min(r[1] for r in runs), max(r[3] for r in runs)
     width = x_max - x_min

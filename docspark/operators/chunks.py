@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..core import blocks as core, captions
 from ..core.layout import Line
 from ..functions import text as T
-from .layout import RUN_COLUMNS, id_type, run_tuples, sorted_rows
+from .grouped import of_groups, record_batch
+from .layout import RUN_COLUMNS, id_type
 
 SEPARATOR = "\n\n"
-_CELL = pa.struct([("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("col", pa.int32()), ("colspan", pa.int32()), ("rowspan", pa.int32())])
-TABLE_TYPE = pa.struct([("columns", pa.int32()), ("header_rows", pa.int32()), ("rows", pa.list_(pa.list_(_CELL)))])
 
 
 def body_size(runs: DataFrame) -> DataFrame:
@@ -23,80 +23,68 @@ def body_size(runs: DataFrame) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.min_by("size", F.struct((-F.col("n")).alias("n"), F.col("size"))).alias("body"))
 
 
-def _id_array(value, n: int, ddl: str) -> pa.Array:
-    return pa.array([value] * n, pa.int64() if ddl == "bigint" else pa.string())
+def _block_rows(key: tuple, blocks: list[core.Block]):
+    for k, b in enumerate(blocks):
+        yield (*key, k, b.page, b.kind, b.text, b.bbox, b.size, b.column, b.table)
 
 
-def _blocks_table(doc, blocks: list[core.Block], ddl: str) -> pa.Table:
-    n = len(blocks)
-    return pa.table({
-        "doc_id": _id_array(doc, n, ddl), "block_ix": pa.array(range(n), pa.int32()), "page": pa.array([b.page for b in blocks], pa.int32()), "kind": pa.array([b.kind for b in blocks], pa.string()),
-        "text": pa.array([b.text for b in blocks], pa.string()), "bbox": pa.array([b.bbox and [float(v) for v in b.bbox] for b in blocks], pa.list_(pa.float64())), "size": pa.array([float(b.size) for b in blocks], pa.float64()),
-        "column": pa.array([b.column for b in blocks], pa.int32()), "table": pa.array([b.table for b in blocks], TABLE_TYPE),
-    })
+def _chunk_rows(key: tuple, made: list[dict]):
+    for k, c in enumerate(made):
+        yield (*key, k, c["page"], c["kind"], c["text"], c["heading_path"], c["bbox"], c["token_estimate"], c["table"])
 
 
-def _pages(runs: pa.Table, images: pa.Table | None = None, rules: pa.Table | None = None) -> dict[int, dict]:
+def _pages(page: list, runs: list[list]) -> dict[int, dict]:
     out: dict[int, dict] = {}
-    page = lambda p: out.setdefault(p, {"runs": [], "images": [], "rules": []})
-    for p, run in zip(runs["page"].to_pylist(), run_tuples(runs), strict=True):
-        page(p)["runs"].append(run)
-    if images is not None:
-        for p, *m in zip(*(images[c].to_pylist() for c in ("page", "a", "b", "c", "d", "e", "f")), strict=True):
-            page(p)["images"].append(tuple(m))
-    if rules is not None:
-        for p, *r in zip(*(rules[c].to_pylist() for c in ("page", "vertical", "pos", "lo", "hi")), strict=True):
-            page(p)["rules"].append(tuple(r))
+    for p, run in zip(page, zip(*runs, strict=True), strict=True):
+        if p not in out:
+            out[p] = {"runs": [], "images": [], "rules": []}
+        out[p]["runs"].append(run)
     return out
 
 
 def blocks(runs: DataFrame) -> DataFrame:
     """Runs to blocks, one group for each document: body size, lines and blocks in one pass after one shuffle."""
-    ddl = id_type(runs)
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        return _blocks_table(key[0].as_py(), core.geometry_blocks(_pages(sorted_rows(group, ["page", "run_ix"]))), ddl)
+    def of(key: tuple, cols: list[list]):
+        return _block_rows(key, core.geometry_blocks(_pages(cols[0], cols[1:])))
 
-    return runs.select("doc_id", "page", "run_ix", *RUN_COLUMNS).groupBy("doc_id").applyInArrow(of, schema.of(schema.BLOCKS, ddl))
+    return of_groups(runs, ["doc_id"], ["page", "run_ix"], ["page", *RUN_COLUMNS], of, schema.of(schema.BLOCKS, id_type(runs)))
 
 
 def blocks_with(runs: DataFrame, draws: DataFrame, rules: DataFrame) -> DataFrame:
-    """Blocks of pages that have images or rules besides text: the three tables meet by document."""
-    ddl = id_type(runs)
-    side = runs.select("doc_id", F.lit(0).alias("part"), "page", F.col("run_ix").cast("bigint").alias("ix"), *RUN_COLUMNS, *(F.lit(None).cast("double").alias(c) for c in "abcdef"), *_no_rule())
-    drawn = draws.select("doc_id", F.lit(1).alias("part"), "page", F.col("draw_ix").cast("bigint").alias("ix"), *_no_run(), *(F.col(c).cast("double") for c in "abcdef"), *_no_rule())
-    ruled = rules.select("doc_id", F.lit(2).alias("part"), "page", F.col("line_ix").cast("bigint").alias("ix"), *_no_run(), *(F.lit(None).cast("double").alias(c) for c in "abcdef"), "vertical", "pos", "lo", "hi")
-
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        group = sorted_rows(group, ["part", "page", "ix"])
-        part = lambda k: group.filter(pc.equal(group["part"], k))
-        return _blocks_table(key[0].as_py(), core.geometry_blocks(_pages(part(0), part(1), part(2))), ddl)
-
-    return side.unionByName(drawn).unionByName(ruled).groupBy("doc_id").applyInArrow(of, schema.of(schema.BLOCKS, ddl))
-
-
-def _no_run() -> list[Column]:
-    return [F.lit(None).cast("string").alias("text"), *(F.lit(None).cast("double").alias(c) for c in RUN_COLUMNS[1:])]
-
-
-def _no_rule() -> list[Column]:
-    return [F.lit(None).cast("boolean").alias("vertical"), *(F.lit(None).cast("double").alias(c) for c in ("pos", "lo", "hi"))]
+    """Blocks of pages that have images or rules besides text: the three tables meet by document, in one narrow layout."""
+    numbers = lambda *cols: F.array(*(F.col(c).cast("double") for c in cols))
+    side = lambda df, part, ix, text, values: df.select("doc_id", F.lit(part).alias("part"), "page", F.col(ix).cast("bigint").alias("ix"), text.alias("text"), values.alias("v"))
+    none = F.lit(None).cast("string")
+    rows = side(runs, 0, "run_ix", F.col("text"), numbers(*RUN_COLUMNS[1:]))
+    rows = rows.unionByName(side(draws, 1, "draw_ix", none, numbers(*"abcdef"))).unionByName(side(rules, 2, "line_ix", none, F.array(F.col("vertical").cast("double"), *(F.col(c).cast("double") for c in ("pos", "lo", "hi")))))
+
+    def of(key: tuple, cols: list[list]):
+        pages: dict[int, dict] = {}
+        for part, p, text, v in zip(*cols, strict=True):
+            page = pages.setdefault(p, {"runs": [], "images": [], "rules": []})
+            if part == 0:
+                page["runs"].append((text, *v))
+            elif part == 1:
+                page["images"].append(tuple(v))
+            else:
+                page["rules"].append((v[0] == 1.0, *v[1:]))
+        return _block_rows(key, core.geometry_blocks(pages))
+
+    return of_groups(rows, ["doc_id"], ["part", "page", "ix"], ["part", "page", "text", "v"], of, schema.of(schema.BLOCKS, id_type(runs)))
 
 
 def group_blocks(lines: DataFrame, body: DataFrame) -> DataFrame:
     """Lines and body sizes to blocks, where the lines are already there."""
-    ddl = id_type(lines)
     joined = lines.join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(core.DEFAULT_BODY)))
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        rows = sorted_rows(group, ["page", "line_ix"]).to_pylist()
-        out: list[core.Block] = []
-        for page in sorted({r["page"] for r in rows}):
-            own = [Line(r["text"], r["y"], r["x0"], r["x1"], r["size"], r["gap_xs"], [[c["text"], c["x0"], c["x1"]] for c in r["cells"]], r["column"]) for r in rows if r["page"] == page]
-            out += core.group_blocks(own, rows[0]["body"], page)
-        return _blocks_table(key[0].as_py(), out, ddl)
+    def of(key: tuple, cols: list[list]):
+        pages: dict[int, list[Line]] = {}
+        for page, text, y, x0, x1, size, gaps, cells, column, _ in zip(*cols, strict=True):
+            pages.setdefault(page, []).append(Line(text, y, x0, x1, size, gaps, [[c["text"], c["x0"], c["x1"]] for c in cells], column))
+        return _block_rows(key, [b for page, own in pages.items() for b in core.group_blocks(own, cols[-1][0], page)])
 
-    return joined.groupBy("doc_id").applyInArrow(of, schema.of(schema.BLOCKS, ddl))
+    return of_groups(joined, ["doc_id"], ["page", "line_ix"], ["page", "text", "y", "x0", "x1", "size", "gap_xs", "cells", "column", "body"], of, schema.of(schema.BLOCKS, id_type(lines)))
 
 
 def heading_paths(blocks_: DataFrame) -> DataFrame:
@@ -117,34 +105,21 @@ def heading_paths(blocks_: DataFrame) -> DataFrame:
 
 def pack(blocks_: DataFrame, *, target_tokens: int = 512, overlap_tokens: int = 0) -> DataFrame:
     """Blocks to chunks: greedy over each document's blocks in order."""
-    ddl = id_type(blocks_)
-
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        rows = sorted_rows(group, ["block_ix"]).to_pylist()
-        made = core.pack([core.Block(r["text"], r["page"], r["kind"], r["bbox"], r["size"], r["column"], table=r["table"]) for r in rows], target_tokens=target_tokens, overlap_tokens=overlap_tokens)
-        return _chunks_table(key[0].as_py(), made, ddl)
-
-    return blocks_.groupBy("doc_id").applyInArrow(of, schema.of(schema.CHUNKS, ddl))
 
+    def of(key: tuple, cols: list[list]):
+        own = [core.Block(text, page, kind, bbox, size, column, table=table) for text, page, kind, bbox, size, column, table in zip(*cols, strict=True)]
+        return _chunk_rows(key, core.pack(own, target_tokens=target_tokens, overlap_tokens=overlap_tokens))
 
-def _chunks_table(doc, made: list[dict], ddl: str) -> pa.Table:
-    n = len(made)
-    col = lambda k, t: pa.array([c[k] for c in made], t)
-    return pa.table({
-        "doc_id": _id_array(doc, n, ddl), "chunk_ix": pa.array(range(n), pa.int32()), "page": col("page", pa.int32()), "kind": col("kind", pa.string()), "text": col("text", pa.string()),
-        "heading_path": col("heading_path", pa.list_(pa.string())), "bbox": pa.array([c["bbox"] and [float(v) for v in c["bbox"]] for c in made], pa.list_(pa.float64())), "token_estimate": col("token_estimate", pa.int64()), "table": col("table", TABLE_TYPE),
-    })
+    return of_groups(blocks_, ["doc_id"], ["block_ix"], ["text", "page", "kind", "bbox", "size", "column", "table"], of, schema.of(schema.CHUNKS, id_type(blocks_)))
 
 
 def chunk_runs(runs: DataFrame, *, target_tokens: int = 512, overlap_tokens: int = 0) -> DataFrame:
     """Runs to chunks in one grouped pass: one shuffle by document, then lines, blocks and packing together."""
-    ddl = id_type(runs)
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        found = core.geometry_blocks(_pages(sorted_rows(group, ["page", "run_ix"])))
-        return _chunks_table(key[0].as_py(), core.pack(found, target_tokens=target_tokens, overlap_tokens=overlap_tokens), ddl)
+    def of(key: tuple, cols: list[list]):
+        return _chunk_rows(key, core.pack(core.geometry_blocks(_pages(cols[0], cols[1:])), target_tokens=target_tokens, overlap_tokens=overlap_tokens))
 
-    return runs.select("doc_id", "page", "run_ix", *RUN_COLUMNS).groupBy("doc_id").applyInArrow(of, schema.of(schema.CHUNKS, ddl))
+    return of_groups(runs, ["doc_id"], ["page", "run_ix"], ["page", *RUN_COLUMNS], of, schema.of(schema.CHUNKS, id_type(runs)))
 
 
 def stable_id(page: Column, kind: Column, text: Column) -> Column:
@@ -185,18 +160,18 @@ def chunk_parsed(parsed: DataFrame, *, target_tokens: int = 512, overlap_tokens:
     from ..core.single import chunk_parsed as of_one
     from ..sources.pdf import NESTED
 
-    ddl = id_type(parsed)
-    extra = "id string, char_start bigint, char_len bigint, context string"
-    kinds = {"char_start": pa.int64(), "char_len": pa.int64(), "id": pa.string(), "context": pa.string()}
+    ddl = schema.of(schema.CHUNKS, id_type(parsed)) + ", id string, char_start bigint, char_len bigint, context string"
+    fields = StructType.fromDDL(ddl)
+    names, kinds = fields.fieldNames(), [to_arrow_type(f.dataType) for f in fields.fields]
 
     def of(batches):
         for b in batches:
+            rows: list[tuple] = []
             for r in b.to_pylist():
                 made = of_one(r, target_tokens=target_tokens, overlap_tokens=overlap_tokens, contextual_prefix=contextual_prefix)
-                table = _chunks_table(r["doc_id"], made, ddl)
-                for k in ("id", "char_start", "char_len", "context"):
-                    table = table.append_column(k, pa.array([c[k] for c in made], kinds[k]))
-                yield from table.to_batches()
+                rows += [(*x, c["id"], c["char_start"], c["char_len"], c["context"]) for x, c in zip(_chunk_rows((r["doc_id"],), made), made, strict=True)]
+            if rows:
+                yield record_batch(rows, names, kinds)
 
     whole = parsed.where("error is null").select("doc_id", "meta", "tagged", *NESTED)
-    return whole.mapInArrow(of, schema.of(schema.CHUNKS, ddl) + ", " + extra)
+    return whole.mapInArrow(of, ddl)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..pdf.document import Document, parse
 from ..pdf.errors import PdfError
 from ..pdf.writer import A4, LETTER, Builder, Editor
+from .grouped import of_groups
 
 OPS = "doc_id {id}, page int, op_ix int, kind string, text string, x double, y double, size double, font string"
 
@@ -149,21 +150,19 @@ def zip_parts(parts: Column) -> Column:
 def build(ops: DataFrame, *, page_size: tuple[float, float] = LETTER, titles: DataFrame | None = None, classic: bool = False, compress: bool = True) -> DataFrame:
     """(doc_id, content): a document drawn from rows (doc_id, page, op_ix, text, x, y, size, font), one group for each."""
     kind = ops.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     rows = ops.select("doc_id", "page", "op_ix", "text", "x", "y", "size", "font")
     rows = rows.withColumn("title", F.lit(None).cast("string")) if titles is None else rows.join(titles.select("doc_id", "title"), "doc_id", "left")
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        made = group.sort_by([("page", "ascending"), ("op_ix", "ascending")]).to_pylist()
-        b = Builder(title=made[0]["title"], compress=compress)
-        for _ in range(made[-1]["page"]):
+    def of(key: tuple, cols: list[list]):
+        b = Builder(title=cols[-1][0], compress=compress)
+        for _ in range(cols[0][-1]):
             b.add_page(page_size)
-        for r in made:
-            if r["text"] is not None:
-                b.draw_text(r["page"] - 1, r["text"], (r["x"], r["y"]), font=r["font"] or "Helvetica", size=r["size"])
-        return pa.table({"doc_id": pa.array([key[0].as_py()], id_type), "content": pa.array([b.save_classic() if classic else b.save()], pa.binary())})
+        for page, text, x, y, size, font, _ in zip(*cols, strict=True):
+            if text is not None:
+                b.draw_text(page - 1, text, (x, y), font=font or "Helvetica", size=size)
+        yield (*key, b.save_classic() if classic else b.save())
 
-    return rows.groupBy("doc_id").applyInArrow(of, f"doc_id {kind}, content binary")
+    return of_groups(rows, ["doc_id"], ["page", "op_ix"], ["page", "text", "x", "y", "size", "font", "title"], of, f"doc_id {kind}, content binary")
 
 
 SIZES = {"letter": LETTER, "a4": A4}

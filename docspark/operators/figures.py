@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import schema
 from ..core import tables as core
 from ..core.blocks import CAPTION_REACH
 from ..functions.geometry import image_bbox
 from ..functions.text import is_caption
+from .grouped import of_groups
 from .layout import id_type
 
 
@@ -53,17 +53,14 @@ LATTICE = "doc_id {id}, block_ix int, col_x array<double>, row_y array<double>"
 
 def lattices(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, block_ix, col_x, row_y) of each block that closed rules lie over: an interval join by page, then a group for each block."""
-    ddl = id_type(blocks)
     boxes = blocks.where("bbox is not null").select("doc_id", "page", "block_ix", "bbox")
     pairs = boxes.join(rules.select("doc_id", "page", "line_ix", "vertical", "pos", "lo", "hi"), ["doc_id", "page"])
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        rows = group.sort_by("line_ix").to_pylist()
-        found = core.find_lattice([(r["vertical"], r["pos"], r["lo"], r["hi"]) for r in rows], rows[0]["bbox"])
-        made = [found] if found else []
-        return pa.table({"doc_id": pa.array([key[0].as_py() for _ in made], pa.int64() if ddl == "bigint" else pa.string()), "block_ix": pa.array([key[1].as_py() for _ in made], pa.int32()), "col_x": pa.array([m.xs for m in made], pa.list_(pa.float64())), "row_y": pa.array([m.ys for m in made], pa.list_(pa.float64()))})
+    def of(key: tuple, cols: list[list]):
+        found = core.find_lattice(list(zip(*cols[1:], strict=True)), cols[0][0])
+        return [(*key, found.xs, found.ys)] if found else []
 
-    return pairs.groupBy("doc_id", "block_ix").applyInArrow(of, schema.of(LATTICE, ddl))
+    return of_groups(pairs, ["doc_id", "block_ix"], ["line_ix"], ["bbox", "vertical", "pos", "lo", "hi"], of, schema.of(LATTICE, id_type(blocks)))
 
 
 def rule_boundaries(rules: DataFrame) -> DataFrame:
@@ -74,8 +71,3 @@ def rule_boundaries(rules: DataFrame) -> DataFrame:
     good = rules.where((F.abs("pos") < 100_000) & ~F.isnan("pos"))
     return good.groupBy("doc_id", "page", "vertical").agg(F.transform(folded, lambda v: v / 100).alias("boundaries"))
 
-
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema
 from ..core import layout as core
+from .grouped import of_groups
 
 RUN_COLUMNS = ["text", "x0", "y0", "x1", "y1", "font_size"]
 
@@ -17,31 +15,15 @@ def id_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
-def sorted_rows(table: pa.Table, by: list[str]) -> pa.Table:
-    return table.sort_by([(c, "ascending") for c in by])
-
-
-def run_tuples(table: pa.Table) -> list[tuple]:
-    return list(zip(*(table[c].to_pylist() for c in RUN_COLUMNS), strict=True))
-
-
 def lines(runs: DataFrame) -> DataFrame:
     """Runs to the lines of each page, in reading order: one shuffle by page, each page a group of its own."""
-    ddl = schema.of(schema.LINES, id_type(runs))
-    doc_type = pa.int64() if id_type(runs) == "bigint" else pa.string()
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        found = core.group_lines(run_tuples(sorted_rows(group, ["run_ix"])))
-        n = len(found)
-        cells = [[{"text": t, "x0": float(a), "x1": float(b)} for t, a, b in ln.cells] for ln in found]
-        return pa.table({
-            "doc_id": pa.array([key[0].as_py()] * n, doc_type), "page": pa.array([key[1].as_py()] * n, pa.int32()), "line_ix": pa.array(range(n), pa.int32()), "column": pa.array([ln.column for ln in found], pa.int32()),
-            "text": pa.array([ln.text for ln in found], pa.string()), "y": pa.array([float(ln.y) for ln in found], pa.float64()), "x0": pa.array([float(ln.x0) for ln in found], pa.float64()), "x1": pa.array([float(ln.x1) for ln in found], pa.float64()),
-            "size": pa.array([float(ln.size) for ln in found], pa.float64()), "gap_xs": pa.array([[float(x) for x in ln.gap_xs] for ln in found], pa.list_(pa.float64())),
-            "cells": pa.array(cells, pa.list_(pa.struct([("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64())]))),
-        })
+    def of(key: tuple, cols: list[list]):
+        for k, ln in enumerate(core.group_lines(list(zip(*cols, strict=True)))):
+            cells = [{"text": t, "x0": a, "x1": b} for t, a, b in ln.cells]
+            yield (*key, k, ln.column, ln.text, ln.y, ln.x0, ln.x1, ln.size, ln.gap_xs, cells)
 
-    return runs.select("doc_id", "page", "run_ix", *RUN_COLUMNS).groupBy("doc_id", "page").applyInArrow(of, ddl)
+    return of_groups(runs, ["doc_id", "page"], ["run_ix"], RUN_COLUMNS, of, schema.of(schema.LINES, id_type(runs)))
 
 
 def median_size(runs: DataFrame) -> DataFrame:
@@ -70,9 +52,3 @@ def columns_of(lines_: DataFrame) -> DataFrame:
     """(doc_id, page, columns, lines): how many columns the reading order of a page has."""
     return lines_.groupBy("doc_id", "page").agg(F.count_distinct("column").alias("columns"), F.count("*").alias("lines"))
 
-
-def batches(rows: list[tuple], names: list[str], types: list[pa.DataType], size: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of bounded length."""
-    for i in range(0, len(rows), size):
-        cols = list(zip(*rows[i : i + size], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)

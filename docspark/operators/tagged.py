@@ -7,17 +7,17 @@ struct_kids: doc_id, node_ix, kid_ix, page, mcid.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core import tables as core
-from .chunks import TABLE_TYPE
 from .. import schema
+from ..core import tables as core
+from .grouped import of_groups
 
 #: What a tag stands for in blocks; other tags only hold others.
 PARAGRAPH_TAGS = ("P", "Formula", "BlockQuote", "Quote", "Note", "Reference", "BibEntry")
 MAX_ROLE_HOPS = 16
 NO_FIGURE_TEXT = "[figure]"
+CELL_COLUMNS = ["node_ix", "parent_ix", "last_ix", "tag", "full_text", "box", "col_span", "row_span"]
 
 
 def resolve_roles(roles: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def tagged_tables(nodes: DataFrame) -> DataFrame:
     cells = nodes.where("tag in ('TH', 'TD', 'TR')")
     below = tops.join(cells, "doc_id").where("node_ix > t_ix and node_ix <= t_last")
 
-    def of(key: tuple, group: pa.Table) -> pa.Table:
-        rows = group.sort_by("node_ix").to_pylist()
+    def of(key: tuple, cols: list[list]):
+        rows = [dict(zip(CELL_COLUMNS, r, strict=True)) for r in zip(*cols, strict=True)]
         trs, end = [], -1
         for r in rows:
             if r["tag"] == "TR" and r["node_ix"] > end:  # a row inside a row is no row of the table
@@ -105,8 +105,6 @@ def tagged_tables(nodes: DataFrame) -> DataFrame:
                 end = r["last_ix"]
         by_row = [[{"tag": r["tag"], "text": r["full_text"], "bbox": r["box"], "col_span": r["col_span"] or 1, "row_span": r["row_span"] or 1} for r in rows if r["parent_ix"] == t["node_ix"] and r["tag"] != "TR"] for t in trs]
         table = core.tagged_table(by_row) if trs else None
-        made = [table] if table else []
-        return pa.table({"doc_id": pa.array([key[0].as_py() for _ in made], pa.int64() if doc_ddl == "bigint" else pa.string()), "node_ix": pa.array([key[1].as_py() for _ in made], pa.int32()), "table": pa.array(made, TABLE_TYPE)})
-
-    return below.groupBy("doc_id", "t_ix").applyInArrow(of, f"doc_id {doc_ddl}, node_ix int, table {schema.TABLE}")
+        return [(*key, table)] if table else []
 
+    return of_groups(below, ["doc_id", "t_ix"], ["node_ix"], CELL_COLUMNS, of, f"doc_id {doc_ddl}, node_ix int, table {schema.TABLE}")

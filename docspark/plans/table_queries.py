@@ -58,7 +58,8 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {CELLS} select doc_id, (page + 1)::int as page, 3::int as columns, n::int as rows, 2::int as header_colspan, rows[1][1] as first_cell from grids where n >= 2""")
 def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules drawn around every grid, but for the one between the first two cells of the first row: that cell spans two columns."""
-    g = grids(spark, sf_dir).select("doc_id", "page", F.size(F.col("table").rows).alias("n"))
+    runs = cell_runs(spark, sf_dir)
+    g = runs.groupBy("doc_id", "page").agg(F.count_distinct("y0").alias("n")).where("n >= 2")
     top = R.TOP + 14.0
     bottom = top - R.STEP * F.col("n")
     rule = lambda vertical, pos, lo, hi: F.struct(F.lit(vertical).alias("vertical"), pos.cast("double").alias("pos"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
@@ -69,7 +70,7 @@ def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = spark.createDataFrame([], schema.of(schema.DRAWS))
     t = F.col("table")
     first = F.get(F.get(t.rows, F.lit(0)), F.lit(0))
-    made = C.blocks_with(cell_runs(spark, sf_dir), draws, rules).where("kind = 'Table'")
+    made = C.blocks_with(runs, draws, rules).where("kind = 'Table'")
     return made.select("doc_id", "page", t["columns"].alias("columns"), F.size(t.rows).alias("rows"), first.colspan.alias("header_colspan"), F.split(first.text, " ")[0].alias("first_cell"))
 
 
@@ -122,7 +123,7 @@ def message_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("blocks_").alias("blocks"), F.get("blocks_", F.size("blocks_") - 1).data.alias("last_image"))
 
 
-@query("""with t as (select conv_id, turn, case when length(text) % 4 = 0 then '' else upper(substr(trim(text, ' '), 1, 10)) end as title, role from conversations)
+@query("""with t as (select conv_id, turn, case when length(text) % 4 = 0 then '' else 'on ' || substr(trim(text, ' '), 1, 10) end as title, role from conversations)
 select conv_id, turn, case when role = 'user' and trim(title, ' ') <> '' then trim(title, ' ' || chr(10)) when role = 'system' then 'kept' else '' end as path from t""")
 def title_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as chunks: users' have no path and get a title, assistants' are headings, the system's have a path."""
@@ -132,7 +133,7 @@ def title_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", kind.alias("kind"), path.alias("heading_path"))
 
     def client():
-        return lambda texts: ["" if len(t) % 4 == 0 else t.strip(" ")[:10].upper() for t in texts]
+        return lambda texts: ["" if len(t) % 4 == 0 else "on " + t.strip(" ")[:10] for t in texts]
 
     return A.title_chunks(rows, client).select("conv_id", "turn", F.array_join("heading_path", ">").alias("path"))
 

@@ -128,3 +128,20 @@ def test_tagged_grid():
     t = T.tagged_table([[cell("TH", "a"), cell("TH", "b")], [], [cell("TD", "c", 1, 5), cell("TD", "d")], [cell("TD", "e", 900)]])
     assert t["header_rows"] == 1 and t["columns"] == 5 and t["rows"][2][0]["rowspan"] == 2 and t["rows"][3][1]["text"] == "e" and t["rows"][3][1]["colspan"] == 4
     assert T.tagged_table([[], []]) is None and T.tagged_table([[cell("TD", "x")]])["header_rows"] == 0
+
+
+def test_strips_find_the_first_close_line():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(30):
+        runs = [run(str(i), float(rng.randint(0, 400)), 500.0, rng.uniform(0, 80), rng.choice([4.0, 9.0, 30.0])) for i in range(60)]
+        lines = []
+        for r in runs:  # as told: the first line there is, in the order they were made
+            home = next((ln for ln in lines if abs(ln.y - r[2]) <= 0.5 * max(ln.size, r[5])), None)
+            if home is None:
+                lines.append(L.Line(r[0], r[2], r[1], r[3], r[5], cells=[[r[0], r[1], r[3]]]))
+            else:
+                home.add(r)
+        want = sorted(lines, key=lambda ln: (-ln.y, ln.x0))
+        assert [(ln.text, ln.y) for ln in L.bucket(runs)] == [(ln.text, ln.y) for ln in want]
