@@ -23,16 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docspark-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/docspark-{uuid.uuid4().hex}-{name}"
+    """A new path below the application's own part of the shared folder."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in files that outlive executors."""
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docspark_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized DataFrame that nothing reads any more."""
+    if path := getattr(df, "_docspark_path", None):
+        _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application left in the shared folder, when no result is read any more."""
+    _delete(spark, _own_dir(spark))
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -29,6 +29,8 @@ DIM = 16
 EPOCHS = 4
 #: Labelled rows a fit may take, in the order of a hash of doc_id.
 MAX_ROWS = 4000
+#: Bytes of text a fit may take: rows beyond it, in that order, are left out.
+MAX_BYTES = 64 << 20
 #: Share of the calibration rows that the threshold may reject although they are right.
 REJECTED_RIGHT = 0.005
 _PIECE = 1 << 20
@@ -116,7 +118,7 @@ def train(texts: list[str], langs: list[str], *, dim: int = DIM, epochs: int = E
     rng = np.random.default_rng(seed)
     number = {c: i for i, c in enumerate(classes)}
     order = rng.permutation(len(texts))
-    held = set(order[:: 5].tolist()) if len(texts) >= 20 else set()
+    held = set(order[::5].tolist()) if len(texts) >= 20 else set()
     bags, ys = [], []
     for i in order.tolist():
         if i in held or not _LETTER.search(texts[i]):
@@ -161,11 +163,22 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """Learn from rows with a language that are not held out; max_rows bounds the rows taken."""
+def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Learn from whole texts of rows with a language that are not held out; max_rows and max_bytes bound the rows taken."""
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     taken = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = own.join(F.broadcast(taken), "id", "left_semi").where("text is not null").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "lang").limit(max_rows).collect()
+    near = own.join(F.broadcast(taken), "id", "left_semi").where("text is not null").withColumn("order", F.struct(F.xxhash64("id"), F.col("id").cast("string"), F.xxhash64("text"), F.col("lang")))
+    sizes = near.select("order", F.octet_length("text").alias("n")).orderBy("order").limit(max_rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r.n
+        if total > max_bytes and last is not None:
+            break
+        last = r.order
+    if last is None:
+        return train([], [])
+    bound = F.struct(*(F.lit(v) for v in last))
+    rows = near.where(F.col("order") <= bound).orderBy("order").limit(max_rows).collect()
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, bounded_batches, materialize
+from .common import as_bytes, bounded_batches, discard, materialize
 
 SHINGLE = 3
 SEED = 42
@@ -171,7 +171,10 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         small = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         lowest = small.groupBy("u").agg(F.min("v").alias("m"))
         down = small.join(lowest, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        before = now
         now = materialize(spark, down.union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct(), f"small{k}")
+        discard(before)
+        discard(large)
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(now.select("a", "a").distinct()).groupBy("node").agg(F.min("root").alias("root"))
@@ -199,10 +202,10 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
     A row is named by its id and a hash of its text. Equal rows become one before their texts are shuffled, so rows
     repeated any number of times are no hot key; the rows to keep then meet the texts where that shuffle put them."""
     spark = docs.sparkSession
-    name = {"_id0": F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)), "_key": F.xxhash64(F.col(id).isNull(), F.col(text))}
-    own = docs.select(F.col(id).isNull().alias("_null"), *(c.alias(k) for k, c in name.items()), F.col(text).alias("text"))
-    marked = materialize(spark, with_fingerprint(own, to="fp").select("_null", "_id0", "_key", "fp"), "named-fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min(F.struct("_null", "_id0", "_key")).alias("first"))
-    kept = _rooted(distinct).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id0").alias("_k0"), F.col("first._key").alias("_k1"))
-    once = docs.withColumns(name).groupBy("_id0", "_key").agg(*(F.first(c).alias(c) for c in docs.columns))
-    return once.join(kept, (F.col("_id0") == F.col("_k0")) & (F.col("_key") == F.col("_k1")), "left_semi").select(*docs.columns)
+    name = {"_docspark_id": F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)), "_docspark_key": F.xxhash64(F.col(id).isNull(), F.col(text))}
+    own = docs.select(F.col(id).isNull().alias("_docspark_null"), *(c.alias(k) for k, c in name.items()), F.col(text).alias("text"))
+    marked = materialize(spark, with_fingerprint(own, to="fp").select("_docspark_null", "_docspark_id", "_docspark_key", "fp"), "named-fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min(F.struct("_docspark_null", "_docspark_id", "_docspark_key")).alias("first"))
+    kept = _rooted(distinct).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._docspark_id").alias("_docspark_kept_id"), F.col("first._docspark_key").alias("_docspark_kept_key"))
+    once = docs.withColumns(name).groupBy("_docspark_id", "_docspark_key").agg(*(F.first(c).alias(c) for c in docs.columns))
+    return once.join(kept, (F.col("_docspark_id") == F.col("_docspark_kept_id")) & (F.col("_docspark_key") == F.col("_docspark_kept_key")), "left_semi").select(*docs.columns)
