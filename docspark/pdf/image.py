@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 
+from . import jpeg
 from .document import Document
 from .errors import PdfError
 from .filters import unpredict
@@ -35,12 +36,18 @@ def output_dimensions(w: float, h: float, *, width=None, height=None, dpi=None,
 
 
 def decode_image(doc: Document, stream: Stream) -> np.ndarray | None:
-    """8-bit gray or RGB samples; None for what is not supported."""
+    """8-bit gray or RGB samples, or a baseline JPEG; None for what is not supported."""
     get = doc.get
     w, h = get(stream.dict.get("Width")), get(stream.dict.get("Height"))
     if type(w) is not int or type(h) is not int or w <= 0 or h <= 0 or w * h > 1 << 28:
         return None
     data, left = doc.file.stream_parts(stream)
+    if left in (["DCTDecode"], ["DCT"]):
+        try:
+            pixels = jpeg.decode(data)
+        except (ValueError, IndexError, KeyError):
+            return None
+        return None if pixels is None else np.dstack([pixels, np.full(pixels.shape[:2], 255, np.uint8)])
     bits = get(stream.dict.get("BitsPerComponent"))
     n = {"DeviceGray": 1, "DeviceRGB": 3}.get(get(stream.dict.get("ColorSpace")))
     if left or n is None or bits not in (None, 8) or len(data) < w * h * n:
