@@ -88,19 +88,22 @@ def group_blocks(lines: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def heading_paths(blocks_: DataFrame) -> DataFrame:
-    """blocks with heading_path: the headings above, outermost first. Native: a fold over each document's blocks."""
-    blank = F.array().cast("array<struct<size:double,text:string>>")
-    heads = F.array_sort(F.collect_list(F.struct("block_ix", "size", "text", "kind")))
-    state = F.struct(blank.alias("stack"), F.array().cast("array<struct<block_ix:int,path:array<string>>>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        above = F.when(b.kind == "Heading", F.filter(acc.stack, lambda s: s["size"] > b["size"])).otherwise(acc.stack)
-        after = F.when(b.kind == "Heading", F.concat(above, F.array(F.struct(b["size"].alias("size"), b.text.alias("text"))))).otherwise(acc.stack)
-        return F.struct(after.alias("stack"), F.concat(acc.out, F.array(F.struct(b.block_ix.alias("block_ix"), F.transform(above, lambda s: s.text).alias("path")))).alias("out"))
-
-    folded = blocks_.groupBy("doc_id").agg(F.aggregate(heads, state, step, lambda acc: acc.out).alias("paths"))
-    paths = folded.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.block_ix", F.col("p.path").alias("heading_path"))
-    return blocks_.join(paths, ["doc_id", "block_ix"])
+    """blocks with heading_path: the headings above, outermost first. One pass over each document's blocks."""
+    names = [f.name for f in blocks_.schema.fields if f.name not in ("doc_id", "heading_path")]
+    at = {n: names.index(n) for n in ("kind", "size", "text")}
+
+    def of(key: tuple, cols: list[list]):
+        stack: list[tuple[float, str]] = []
+        for row in zip(*cols, strict=True):
+            heading = row[at["kind"]] == "Heading"
+            while heading and stack and stack[-1][0] <= row[at["size"]]:
+                stack.pop()
+            yield (*key, *row, [t for _, t in stack])
+            if heading:
+                stack.append((row[at["size"]], row[at["text"]]))
+
+    ddl = ", ".join([f"doc_id {id_type(blocks_)}", *(f"`{n}` {blocks_.schema[n].dataType.simpleString()}" for n in names), "heading_path array<string>"])
+    return of_groups(blocks_, ["doc_id"], ["block_ix"], names, of, ddl)
 
 
 def pack(blocks_: DataFrame, *, target_tokens: int = 512, overlap_tokens: int = 0) -> DataFrame:

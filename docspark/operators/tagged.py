@@ -7,10 +7,13 @@ struct_kids: doc_id, node_ix, kid_ix, page, mcid.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema
 from ..core import tables as core
+from ..core.blocks import union
 from .grouped import of_groups
 
 #: What a tag stands for in blocks; other tags only hold others.
@@ -51,12 +54,24 @@ def node_text(nodes: DataFrame, kids: DataFrame, runs: DataFrame) -> DataFrame:
 def subtree(nodes: DataFrame) -> DataFrame:
     """nodes with full_text (own and descendants' texts that are not empty, by line) and box (all of theirs).
 
-    An interval join on preorder places, within a document."""
-    below = nodes.select("doc_id", F.col("node_ix").alias("d_ix"), F.col("own_text").alias("d_text"), F.col("own_box").alias("d_box"))
-    pairs = nodes.select("doc_id", "node_ix", "last_ix").join(below, "doc_id").where((F.col("d_ix") >= F.col("node_ix")) & (F.col("d_ix") <= F.col("last_ix")))
-    texts = F.transform(F.array_sort(F.filter(F.collect_list(F.struct("d_ix", "d_text")), lambda x: x.d_text != "")), lambda x: x.d_text)
-    box = F.array(F.min("d_box.x0"), F.min("d_box.y0"), F.max("d_box.x1"), F.max("d_box.y1"))
-    rolled = pairs.groupBy("doc_id", "node_ix").agg(F.array_join(texts, "\n").alias("full_text"), F.when(F.min("d_box.x0").isNotNull(), box).alias("box"))
+    A pass over each document's nodes in preorder: a subtree is a slice, so nothing is paired."""
+    doc_ddl = nodes.schema["doc_id"].dataType.simpleString()
+
+    def of(key: tuple, cols: list[list]):
+        ix, last, texts, boxes = cols
+        said = [k for k, t in enumerate(texts) if t]
+        held = [None if b is None else [b["x0"], b["y0"], b["x1"], b["y1"]] for b in boxes]
+        ends = [bisect_right(ix, n) for n in last]
+        for k in range(len(ix) - 1, -1, -1):  # a node's children come after it, so their boxes are whole already
+            child = k + 1
+            while child < ends[k]:
+                held[k] = union(held[k], held[child])
+                child = ends[child]
+        for k, end in enumerate(ends):
+            own = said[bisect_left(said, k) : bisect_left(said, end)]
+            yield (*key, ix[k], "\n".join(texts[m] for m in own), held[k])
+
+    rolled = of_groups(nodes, ["doc_id"], ["node_ix"], ["node_ix", "last_ix", "own_text", "own_box"], of, f"doc_id {doc_ddl}, node_ix int, full_text string, box array<double>")
     return nodes.join(rolled, ["doc_id", "node_ix"])
 
 
@@ -92,19 +107,25 @@ def tagged_blocks(nodes: DataFrame, grids: DataFrame | None = None) -> DataFrame
 def tagged_tables(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_ix, table): the grid of each Table node, from its rows below any wrapper and their TH and TD."""
     doc_ddl = nodes.schema["doc_id"].dataType.simpleString()
-    tops = nodes.where("tag = 'Table'").select("doc_id", F.col("node_ix").alias("t_ix"), F.col("last_ix").alias("t_last"))
-    cells = nodes.where("tag in ('TH', 'TD', 'TR')")
-    below = tops.join(cells, "doc_id").where("node_ix > t_ix and node_ix <= t_last")
 
     def of(key: tuple, cols: list[list]):
         rows = [dict(zip(CELL_COLUMNS, r, strict=True)) for r in zip(*cols, strict=True)]
-        trs, end = [], -1
-        for r in rows:
-            if r["tag"] == "TR" and r["node_ix"] > end:  # a row inside a row is no row of the table
-                trs.append(r)
-                end = r["last_ix"]
-        by_row = [[{"tag": r["tag"], "text": r["full_text"], "bbox": r["box"], "col_span": r["col_span"] or 1, "row_span": r["row_span"] or 1} for r in rows if r["parent_ix"] == t["node_ix"] and r["tag"] != "TR"] for t in trs]
-        table = core.tagged_table(by_row) if trs else None
-        return [(*key, table)] if table else []
-
-    return of_groups(below, ["doc_id", "t_ix"], ["node_ix"], CELL_COLUMNS, of, f"doc_id {doc_ddl}, node_ix int, table {schema.TABLE}")
+        ix = cols[0]
+        for k, top in enumerate(rows):
+            if top["tag"] != "Table":
+                continue
+            below = rows[k + 1 : bisect_right(ix, top["last_ix"])]
+            by_row, end = [], -1
+            for m, r in enumerate(below):
+                if r["tag"] == "TR" and r["node_ix"] > end:  # a row inside a row is no row of the table
+                    end = r["last_ix"]
+                    by_row.append([_cell(c) for c in below[m + 1 : bisect_right(ix, end) - k - 1] if c["parent_ix"] == r["node_ix"] and c["tag"] in ("TH", "TD")])
+            if by_row and (table := core.tagged_table(by_row)):
+                yield (*key, top["node_ix"], table)
+
+    taken = nodes.where("tag in ('Table', 'TR', 'TH', 'TD')")
+    return of_groups(taken, ["doc_id"], ["node_ix"], CELL_COLUMNS, of, f"doc_id {doc_ddl}, node_ix int, table {schema.TABLE}")
+
+
+def _cell(c: dict) -> dict:
+    return {"tag": c["tag"], "text": c["full_text"], "bbox": c["box"], "col_span": c["col_span"] or 1, "row_span": c["row_span"] or 1}
