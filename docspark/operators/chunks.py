@@ -29,8 +29,10 @@ def _block_rows(key: tuple, blocks: list[core.Block]):
 
 
 def _chunk_rows(key: tuple, made: list[dict]):
+    at = 0
     for k, c in enumerate(made):
-        yield (*key, k, c["page"], c["kind"], c["text"], c["heading_path"], c["bbox"], c["token_estimate"], c["table"])
+        yield (*key, k, c["page"], c["kind"], c["text"], c["heading_path"], c["bbox"], c["token_estimate"], c["table"], at, len(c["text"]))
+        at += len(c["text"]) + len(SEPARATOR)
 
 
 def _pages(page: list, runs: list[list]) -> dict[int, dict]:
@@ -135,10 +137,8 @@ def stable_id(page: Column, kind: Column, text: Column) -> Column:
 
 
 def finalize(chunks: DataFrame, *, titles: DataFrame | None = None, contextual_prefix: bool = False, with_id: bool = True) -> DataFrame:
-    """chunks with char_start and char_len in the document's text, id, and context if asked for. Native but for the id."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_ix").rowsBetween(Window.unboundedPreceding, -1)
-    out = chunks.withColumn("char_len", F.length("text").cast("bigint"))
-    out = out.withColumn("char_start", F.coalesce(F.sum(F.col("char_len") + len(SEPARATOR)).over(w), F.lit(0)).cast("bigint"))
+    """chunks with id, and context if asked for; char_start and char_len where packing has not told them. Native but for the id."""
+    out = chunks if "char_start" in chunks.columns else offsets(chunks)
     if with_id:
         out = out.withColumn("id", stable_id(F.col("page"), F.col("kind"), F.col("text")))
     if not contextual_prefix:
@@ -150,6 +150,13 @@ def finalize(chunks: DataFrame, *, titles: DataFrame | None = None, contextual_p
     return out.withColumn("context", T.context_prefix(F.col("_title"), F.col("heading_path"), F.col("page"))).drop("_title")
 
 
+def offsets(chunks: DataFrame) -> DataFrame:
+    """chunks with char_start and char_len in the document's text: a running sum."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_ix").rowsBetween(Window.unboundedPreceding, -1)
+    out = chunks.withColumn("char_len", F.length("text").cast("bigint"))
+    return out.withColumn("char_start", F.coalesce(F.sum(F.col("char_len") + len(SEPARATOR)).over(w), F.lit(0)).cast("bigint"))
+
+
 def document_text(chunks: DataFrame) -> DataFrame:
     """(doc_id, text): the chunks' texts joined; char_start and char_len slice it."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x.text), SEPARATOR)
@@ -163,7 +170,7 @@ def chunk_parsed(parsed: DataFrame, *, target_tokens: int = 512, overlap_tokens:
     from ..core.single import chunk_parsed as of_one
     from ..sources.pdf import NESTED
 
-    ddl = schema.of(schema.CHUNKS, id_type(parsed)) + ", id string, char_start bigint, char_len bigint, context string"
+    ddl = schema.of(schema.CHUNKS, id_type(parsed)) + ", id string, context string"
     fields = StructType.fromDDL(ddl)
     names, kinds = fields.fieldNames(), [to_arrow_type(f.dataType) for f in fields.fields]
 
@@ -172,7 +179,7 @@ def chunk_parsed(parsed: DataFrame, *, target_tokens: int = 512, overlap_tokens:
             rows: list[tuple] = []
             for r in b.to_pylist():
                 made = of_one(r, target_tokens=target_tokens, overlap_tokens=overlap_tokens, contextual_prefix=contextual_prefix)
-                rows += [(*x, c["id"], c["char_start"], c["char_len"], c["context"]) for x, c in zip(_chunk_rows((r["doc_id"],), made), made, strict=True)]
+                rows += [(*x, c["id"], c["context"]) for x, c in zip(_chunk_rows((r["doc_id"],), made), made, strict=True)]
             if rows:
                 yield record_batch(rows, names, kinds)
 

@@ -59,19 +59,19 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with recursive {packed(512)} select count(*)::bigint as chunks, count(*)::bigint as sliced from chunks")
 def char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text is what its offsets slice from its document's text."""
-    made = C.finalize(chunks(spark, sf_dir), with_id=False)
+    made = C.offsets(chunks(spark, sf_dir).drop("char_start", "char_len"))
     whole = C.document_text(made).withColumnRenamed("text", "whole")
     cut = F.substring("whole", F.col("char_start").cast("int") + 1, F.col("char_len").cast("int"))
     return made.join(whole, "doc_id").agg(F.count("*").alias("chunks"), F.sum((cut == F.col("text")).cast("bigint")).alias("sliced"))
 
 
 @query(f"""with recursive {packed(512)},
-keys as (select doc_id, chunk_ix, page, lower(kind) as kind, hex(encode(text)) as h from chunks where length(text) <= 400),
+keys as (select doc_id, chunk_ix, page, lower(kind) as kind, hex(encode(text)) as h from chunks),
 bytes as (select doc_id, chunk_ix, [page, 0, 0, 0, 0, 0, 0, 0] || [ascii(c) for c in string_split(kind, '')] || [0] || [('0x' || substr(h, 2 * i + 1, 2))::int for i in range(length(h) // 2)] as b from keys)
 select doc_id, chunk_ix, lower(lpad(hex(list_reduce([14695981039346656037::uhugeint] || [x::uhugeint for x in b], lambda a, x: (xor(a, x) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint), 16, '0')) as id from bytes""")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content ids of the chunks of up to 400 characters (the SQL side walks every byte)."""
-    return chunks(spark, sf_dir).where(F.length("text") <= 400).select("doc_id", "chunk_ix", C.stable_id(F.col("page"), F.col("kind"), F.col("text")).alias("id"))
+    """Content ids of all chunks."""
+    return chunks(spark, sf_dir).select("doc_id", "chunk_ix", C.stable_id(F.col("page"), F.col("kind"), F.col("text")).alias("id"))
 
 
 @query(f"with {BLOCKS} select doc_id, block_ix, page::int as page, kind, size, sha256(text) as text_sha256 from blocks")

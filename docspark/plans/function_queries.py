@@ -15,13 +15,13 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text): lines announced as captions or items at fixed places, with signs that need escaping."""
     n = F.col("line_no")
     rows = R.text_lines(table(spark, sf_dir, "documents"))
-    text = F.when(n % 7 == 3, F.concat(F.lit("Figure "), n, F.lit(": "), F.substring("line", 1, 60))).when(n % 7 == 4, F.concat(F.lit("  table "), n, F.lit(") "), F.substring("line", 1, 60)))
+    text = F.when(n % 7 == 3, F.concat(F.lit("Figure "), n, F.lit(": "), F.col("line"))).when(n % 7 == 4, F.concat(F.lit("  table "), n, F.lit(") "), F.col("line")))
     text = text.when(n % 5 == 1, F.concat(F.lit("- "), F.col("line"))).when(n % 5 == 2, F.concat(n, F.lit(". "), F.col("line"))).when(n % 5 == 3, F.concat(F.lit("# <b>\"x\" & 'y'</b>, "), F.col("line"))).otherwise(F.col("line"))
     return rows.select("doc_id", "line_no", text.alias("text"))
 
 
 MARKED = f"""{LINES},
-marked as (select doc_id, line_no::int as line_no, case when line_no % 7 = 3 then 'Figure ' || line_no || ': ' || substr(line, 1, 60) when line_no % 7 = 4 then '  table ' || line_no || ') ' || substr(line, 1, 60)
+marked as (select doc_id, line_no::int as line_no, case when line_no % 7 = 3 then 'Figure ' || line_no || ': ' || line when line_no % 7 = 4 then '  table ' || line_no || ') ' || line
   when line_no % 5 = 1 then '- ' || line when line_no % 5 = 2 then line_no || '. ' || line when line_no % 5 = 3 then '# <b>"x" & ''y''</b>, ' || line else line end as text from lines)"""
 
 

@@ -13,17 +13,17 @@ ASCII = "[^ -~]"
 
 
 def draw_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line of text for each line of a document, 40 on a page, ASCII only, at most 80 characters."""
+    """A line of text for each line of a document, 40 on a page, ASCII only."""
     n = F.col("line_no")
     from ..operators.runs import text_lines
 
     rows = text_lines(table(spark, sf_dir, "documents"))
-    text = F.substring(F.trim(F.regexp_replace("line", ASCII, "")), 1, 80)
-    made = rows.select("doc_id", (F.floor(n / 40) + 1).cast("int").alias("page"), n.cast("int").alias("op_ix"), F.trim(text).alias("text"), F.lit(72.0).alias("x"), (740 - 18.0 * (n % 40)).alias("y"), F.lit(11.0).alias("size"), F.lit("Helvetica").alias("font"))
+    text = F.trim(F.regexp_replace("line", ASCII, ""))
+    made = rows.select("doc_id", (F.floor(n / 40) + 1).cast("int").alias("page"), n.cast("int").alias("op_ix"), text.alias("text"), F.lit(72.0).alias("x"), (740 - 18.0 * (n % 40)).alias("y"), F.lit(11.0).alias("size"), F.lit("Helvetica").alias("font"))
     return made.where("text <> ''")
 
 
-OPS = f"{LINES}, ops as (select doc_id, line_no, line_no // 40 + 1 as page, trim(substr(trim(regexp_replace(line, '{ASCII}', '', 'g'), ' '), 1, 80), ' ') as text, 740 - 18 * (line_no % 40) as y from lines where trim(substr(trim(regexp_replace(line, '{ASCII}', '', 'g'), ' '), 1, 80), ' ') <> '')"
+OPS = f"{LINES}, ops as (select doc_id, line_no, line_no // 40 + 1 as page, trim(regexp_replace(line, '{ASCII}', '', 'g'), ' ') as text, 740 - 18 * (line_no % 40) as y from lines where trim(regexp_replace(line, '{ASCII}', '', 'g'), ' ') <> '')"
 
 
 def documents(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -38,12 +38,11 @@ def pdf_round_trip_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_tables(parsed)["runs"].select("doc_id", "page", "text", F.round("y0", 3).alias("y"), F.round("x1", 3).alias("x1"))
 
 
-@query(f"with {OPS} select doc_id, page::int as page, sha256(string_agg(text, chr(10) order by line_no)) as text_sha256 from (select *, lag(y) over (partition by doc_id, page order by line_no) as p_y from ops) group by doc_id, page having count(*) filter (where p_y - y > 19.8) = 0")
+@query(f"with {OPS} select doc_id, page::int as page, sha256(string_agg(case when p_y is null then '' when p_y - y > 19.8 then chr(10) || chr(10) else chr(10) end || text, '' order by line_no)) as text_sha256 from (select *, lag(y) over (partition by doc_id, page order by line_no) as p_y from ops) group by doc_id, page")
 def pdf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of pages without a blank line."""
+    """Text of every page, blank lines included."""
     runs = parsed_tables(from_binary(documents(spark, sf_dir, classic=True), want=("runs",)))["runs"]
-    texts = L.page_text(L.lines(runs))
-    return texts.where(~F.contains("text", F.lit("\n\n"))).select("doc_id", "page", F.sha2("text", 256).alias("text_sha256"))
+    return L.page_text(L.lines(runs)).select("doc_id", "page", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(f"with {OPS} select doc_id, 'Document ' || doc_id || ' ' || lang as title, max(page)::int as page_count, false as encrypted from ops join documents using (doc_id) group by doc_id, lang")

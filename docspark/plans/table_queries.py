@@ -94,16 +94,15 @@ def tagged_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {RUNS}, kept as (select doc_id, line_no, row_number() over (partition by doc_id order by line_no) - 1 as k, count(*) over (partition by doc_id) as n from runs)
-select doc_id, string_agg('L' || k, ' ' order by k) || ' ' || string_agg('R' || k, ' ' order by k) as reading_order, 2::bigint as columns from kept where k < 30 group by doc_id having count(*) >= 5""")
+select doc_id, case when count(*) >= 5 then string_agg('L' || k, ' ' order by k) || ' ' || string_agg('R' || k, ' ' order by k) else string_agg('L' || k || ' R' || k, ' ' order by k) end as reading_order, case when count(*) >= 5 then 2 else 1 end::bigint as columns from kept group by doc_id""")
 def column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two columns of up to 30 lines come out one after the other, though their runs alternate."""
+    """Two columns of five lines or more come out one after the other, though their runs alternate; shorter ones line by line."""
     from pyspark.sql import Window
 
     lines = R.text_lines(table(spark, sf_dir, "documents"))
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
-    rows = lines.select("doc_id", k.alias("k")).where("k < 30")
-    enough = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 5")
-    rows = rows.join(enough.select("doc_id"), "doc_id", "left_semi").select("doc_id", "k", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    rows = lines.select("doc_id", k.alias("k"))
+    rows = rows.select("doc_id", "k", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     y = 740.0 - 18.0 * F.col("k")
     x0 = F.when(F.col("side") == 0, 72.0).otherwise(300.0)
     runs = rows.select("doc_id", F.lit(1).alias("page"), (F.col("k") * 2 + F.col("side")).cast("bigint").alias("run_ix"), F.concat(F.when(F.col("side") == 0, "L").otherwise("R"), F.col("k").cast("string")).alias("text"), x0.alias("x0"), y.alias("y0"), (x0 + 190.0).alias("x1"), (y + 12.0).alias("y1"), F.lit(12.0).alias("font_size"))
@@ -148,10 +147,10 @@ def form_fill_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {RUNS}, bands as (select doc_id, page, min(72.0) as lo, max(72.0 + length(text) * 0.5 * size) as hi, 0 as col from runs group by all)
-select doc_id, page::int as page, 0::int as "column" from bands where doc_id % 2 = 0""")
+select doc_id, page::int as page, 0::int as "column" from bands""")
 def figure_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = R.synthetic_runs(table(spark, sf_dir, "documents"))
-    boxes = runs.where("doc_id % 2 = 0").select("doc_id", "page").distinct().withColumns({"fig_ix": F.lit(0), "x0": F.lit(400.0), "x1": F.lit(500.0)})
+    boxes = runs.select("doc_id", "page").distinct().withColumns({"fig_ix": F.lit(0), "x0": F.lit(400.0), "x1": F.lit(500.0)})
     return FG.figure_columns(boxes, L.lines(runs)).select("doc_id", "page", "column")
 
 

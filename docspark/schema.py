@@ -8,7 +8,7 @@ LINES = "doc_id {id}, page int, line_ix int, column int, text string, y double,
 CELL = "struct<text:string,bbox:array<double>,col:int,colspan:int,rowspan:int>"
 TABLE = f"struct<columns:int,header_rows:int,rows:array<array<{CELL}>>>"
 BLOCKS = f"doc_id {{id}}, block_ix int, page int, kind string, text string, bbox array<double>, size double, column int, table {TABLE}"
-CHUNKS = f"doc_id {{id}}, chunk_ix int, page int, kind string, text string, heading_path array<string>, bbox array<double>, token_estimate bigint, table {TABLE}"
+CHUNKS = f"doc_id {{id}}, chunk_ix int, page int, kind string, text string, heading_path array<string>, bbox array<double>, token_estimate bigint, table {TABLE}, char_start bigint, char_len bigint"
 
 
 def of(ddl: str, id_type: str = "bigint") -> str:
