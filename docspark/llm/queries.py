@@ -104,6 +104,15 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+#: Holds where a page's article is one plain element, as in the tables; other markup is tested against fixtures.
+OP8_SQL = r"""
+with found as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|\z)', 1) as body from pages),
+blocks as (select page_id, url, [trim(regexp_replace(regexp_replace(b, '<[^>]*(>|\z)', ' ', 'g'), '\s+', ' ', 'g'), ' ') for b in string_split_regex(body, '</?(?:p|h1)>')] as b from found),
+texts as (select page_id, url, array_to_string([regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#39;?', chr(39), 'g'), '&amp;?', '&', 'g') for x in b if x <> ''], chr(10)) as text from blocks)
+select page_id, url, text, length(text)::bigint as n_chars from texts
+"""
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_dedup.cluster(table(spark, sf_dir, "documents"))
@@ -120,4 +129,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scans": license_scan.sql(), "op5_chat_formatting": OP5_SQL, "op7_warc": OP7_SQL}
+    return {"op2_license_scans": license_scan.sql(), "op5_chat_formatting": OP5_SQL, "op7_warc": OP7_SQL, "op8_html_extraction": OP8_SQL}
