@@ -4,8 +4,8 @@ Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 of the
 positional bytes (position, value). The index lists every distinct fingerprint under each choice of 6 positions and
 their bytes; a list is thus the set of fingerprints whose tally of shared positional bytes reaches the guaranteed
 minimum, and never holds more than 65,536 of them, as two bytes are left. Inside a list, fingerprints that the
-count filter retained are verified on the differing bits, by looking up each one's 137 neighbours, so that a list of
-k costs k lookups and yields less than k links. Components of the links come from alternating star rounds.
+count filter retained are verified on the differing bits: pair by pair in short lists, in longer ones by looking up
+each one's 136 neighbours, so that a list of k costs k lookups and yields less than k links. Components of the links come from alternating star rounds.
 
 Equal fingerprints are one vertex, so a group of copies of any size costs one row.
 
@@ -98,7 +98,9 @@ def _list_links(fp: np.ndarray, lost: tuple[int, ...]) -> list[tuple[int, int]]:
 
     if len(fp) <= 64:
         a, b = np.triu_indices(len(fp), 1)
-        near = np.bitwise_count(rest[a] ^ rest[b]) <= MAX_BITS
+        differ = fp[a] ^ fp[b]
+        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # positional bytes that a pair shares
+        near = (tally >= 8 - MAX_BITS) & (np.bitwise_count(differ) <= MAX_BITS)
         pairs = zip(a[near].tolist(), b[near].tolist(), strict=True)
     else:
         at = np.full(1 << 16, -1, np.int64)
