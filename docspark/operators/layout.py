@@ -46,9 +46,3 @@ def page_text(lines_: DataFrame) -> DataFrame:
     parts = lines_.select("doc_id", "page", "line_ix", F.concat(glue, trimmed(F.col("text"))).alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "part"))), lambda x: x.part), "")
     return parts.groupBy("doc_id", "page").agg(joined.alias("text"))
-
-
-def columns_of(lines_: DataFrame) -> DataFrame:
-    """(doc_id, page, columns, lines): how many columns the reading order of a page has."""
-    return lines_.groupBy("doc_id", "page").agg(F.count_distinct("column").alias("columns"), F.count("*").alias("lines"))
-

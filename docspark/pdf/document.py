@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from . import fonts
 from .content import Interpreter
 from .errors import PdfError, page_out_of_range
@@ -301,10 +299,6 @@ def _node(ix: int, parent: int, depth: int, tag: str, raw: str) -> dict:
     return {"node_ix": ix, "parent_ix": parent, "depth": depth, "last_ix": ix, "tag": tag, "raw_tag": raw, "alt": None, "page": None, "col_span": 1, "row_span": 1}
 
 
-def finite(x: float) -> float:
-    return x if math.isfinite(x) else 0.0
-
-
 PARTS = ("runs", "draws", "rules", "links", "outline", "structure", "form")
 
 

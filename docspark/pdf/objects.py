@@ -33,7 +33,6 @@ class Stream:
     id: tuple[int, int] | None = field(default=None, compare=False)
 
 
-_SPACE = b"\x00\t\n\x0c\r "
 _TOKEN = re.compile(
     rb"(?P<space>[\x00\t\n\x0c\r ]+|%[^\r\n]*)|(?P<num>[+-]*(?:\d+\.?\d*|\.\d+)(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z))|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
     rb"|(?P<open><<|\[)|(?P<close>>>|\])|(?P<hex><[0-9A-Fa-f\x00\t\n\x0c\r ]*>?)|(?P<text>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<odd>[)>{}])"
@@ -42,7 +41,6 @@ _ESCAPED = re.compile(rb"\\(?:([nrtbf()\\])|([0-7]{1,3})|(\r\n|\r|\n)|(.)|\Z)",
 _NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
 _PAREN = re.compile(rb"\\.|[()]", re.S)
 _HEXNAME = re.compile(rb"#([0-9A-Fa-f]{2})")
-_STREAM = re.compile(rb"[\x00\t\x0c ]*stream(\r\n|\n|\r)")
 MAX_NESTING = 200
 
 
@@ -175,7 +173,6 @@ def number(x, default: float | None = None) -> float | None:
 
 # Writing.
 
-_PLAIN = re.compile(r"[!-~]")
 _NAME_ODD = set("()<>[]{}/%# ")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chunks as C, layout as L, runs as R, serialize as S
-from .registry import BLOCKS, IS_CAPTION, LINES, RUNS, TOKENS, packed, query, table
+from .registry import BLOCKS, LINES, RUNS, TOKENS, packed, query, table
 
 
 def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,10 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert cli.main([str(path), "--password-file", str(tmp_path / "pw")]) == 0
     assert cli.main([str(tmp_path / "none.pdf")]) == 1 and cli.main(["render"]) == 2 and cli.main(["render", str(path), "--password", "open-sesame", "--page", "9"]) == 1
     assert cli.main(["render", str(path), "--backend", "pdfium"]) == 1
+
+
+def test_matrix_columns(spark):
+    from docspark.functions import geometry as G
+
+    row = spark.createDataFrame([(3.0, 4.0)], "c double, d double").select(G.vertical_scale(F.col("c"), F.col("d")).alias("s")).first()
+    assert row.s == 5.0
