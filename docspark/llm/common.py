@@ -68,7 +68,3 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column's values."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
-
-
-def empty_struct(kind: pa.StructType, rows: int) -> pa.Array:
-    return pa.array([None] * rows, kind)
