@@ -242,3 +242,18 @@ def test_matrix_columns(spark):
 
     row = spark.createDataFrame([(3.0, 4.0)], "c double, d double").select(G.vertical_scale(F.col("c"), F.col("d")).alias("s")).first()
     assert row.s == 5.0
+
+
+def test_file_sink(spark, tmp_path):
+    from docspark.sources import write_files
+
+    rows = [("a/one.pdf", X.born_digital()), ("two.png", b"png"), ("../out", b"x"), ("/abs", b"x"), (None, b"x"), ("three", None), ("..", b"x")]
+    made = write_files(spark.createDataFrame(rows, "n string, c binary"), str(tmp_path), name="n", content="c")
+    for _ in range(2):  # a second run replaces the files
+        got = {r.name: (r.length, r.error) for r in made.collect()}
+    assert got["a/one.pdf"] == (len(X.born_digital()), None) and got["two.png"] == (3, None)
+    assert got["three"][1] == "no_content" and {got[k][1] for k in ("../out", "/abs", None, "..")} == {"bad_name"}
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["a/one.pdf", "two.png"]
+    md = spark.createDataFrame([("x.md", "# é")], "n string, c string")
+    write_files(md, str(tmp_path), name="n", content="c").collect()
+    assert (tmp_path / "x.md").read_text(encoding="utf-8") == "# é"
