@@ -56,6 +56,8 @@ _WORDS = frozenset(
     disqus respond reply replies breadcrumb breadcrumbs pagination pager widget toolbar search skip contentinfo complementary
     paywall toc tags""".split()
 )
+#: Inside an article these mark its own title.
+_HEADS = frozenset(("header", "masthead", "banner"))
 _CLOSES_P = _BLOCK - {"body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption", "li", "dd", "dt"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("article main section div nav aside footer header form table td th body blockquote ul ol dl".split())
@@ -78,7 +80,8 @@ class Element:
         up_drop, up_main = (parent.drop, parent.main) if parent else (False, False)
         self.tag = tag
         self.main = up_main or tag in ("article", "main") or "main" in words
-        named = bool(words & _WORDS) and tag not in ("html", "body", "article", "main") and not (up_main and words & {"header", "headline"} and tag == "header")
+        marks = words & _WORDS - (_HEADS if up_main else frozenset())
+        named = bool(marks) and tag not in ("html", "body", "article", "main")
         self.drop = up_drop or hidden or tag in _DROPPED or tag == "header" and not up_main or named or tag == "article" and bool(words & {"comment", "comments", "reply"})
         self.path = hash32((parent.path if parent else 0, tag, " ".join(sorted(words))))
 

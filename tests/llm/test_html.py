@@ -32,6 +32,11 @@ def test_article_without_what_surrounds_it():
     assert H.extract([PAGE.format(n=k, body=body) for k in range(5)]) == [want] * 5
 
 
+def test_an_articles_own_header_stays():
+    page = '<header class="site-header">Site</header><div class="masthead">Top</div><article><header class="post-header"><h1>Title</h1></header><div class="entry-header">By me</div><p>Text</p><div class="post-footer">Filed</div></article>'
+    assert H.extract([page]) == ["Title\nBy me\nText"]
+
+
 def test_pages_without_an_article_lose_their_template():
     body = lambda k: f"<div><div><p>Breadcrumb home</p></div><div><p>Story {k} begins here.</p><p>It goes on, number {k * 7}.</p></div><div><p>All rights reserved</p></div></div>"
     got = H.extract([PAGE.format(n=k, body=body(k)) for k in range(6)])
