@@ -93,3 +93,9 @@ def test_operator_rows(spark, docs_of):
         assert tuple(ids) in want and len(ids) == own[0].doc_tokens and ids[-1] == 1
     assert sum(r.length for r in rows) == sum(map(len, want))
     assert P.pack(docs_of([])).collect() == []
+
+
+def test_a_task_that_runs_again_packs_alike(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = [sorted(map(tuple, P.pack(docs, with_ids=False, block_tokens=50_000).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
