@@ -1,14 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host are taken in groups. Their tokens are tags with the path they stand at, and text blocks outside
-the article; tokens of one occurrence vector over the group's pages form a class. A class is valid if it occurs on
+Pages of one host are taken in groups. Their tokens are tags with the path they stand at, and text blocks;
+tokens of one occurrence vector over the group's pages form a class. A class is valid if it occurs on
 two different pages or more, has two tokens or more, its tokens keep one order on all pages, and it nests: between
 two neighbours of a wider class it lies in one gap only. The valid classes make the template. What lies between
 template tokens are slots; slots whose template tags are menus, adverts, notices, forms, comments and the like are
-left out, constant text outside an article belongs to the template, and the text of the remaining slots is the result.
+left out, constant text belongs to the template, and the text of the remaining slots is the result.
 
-Inside an article nothing is left out for being common, so copies of a page keep their text. A page alone on its
-host has no vectors to compare; its own tags then are its template.
+Text counts as constant by the share of the group's versions that hold it: pages that have half of their text in
+common are copies of each other and one version, so copies and near copies keep their text. Inside an article it
+takes four fifths of the versions and four at least, and only text in a container counts, not the article's own
+paragraphs. An article (a tag, a role, or the word main in a
+class or id) counts where it holds half of the page's slots or more. A page alone on its host has no vectors to
+compare; its own tags then are its template.
 
 Pages travel compressed. Hosts that hold a thousandth of all pages or more (at most a thousand such) are spread by
 page id; groups of other hosts are streamed, GROUP pages at a time.
@@ -32,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_batches
 
 GROUP = 32
+#: The versions that hold a template's text in an article, at least.
+SURE = 4
 #: A host with this share of the pages is spread over tasks.
 HEAVY_SHARE = 1000
 
@@ -60,26 +66,29 @@ _WORDS = frozenset(
 _HEADS = frozenset(("header", "masthead", "banner"))
 _CLOSES_P = _BLOCK - {"body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption", "li", "dd", "dt"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_BOXES = frozenset("div section ul ol dl table figure details blockquote center address".split())
 _SCOPE = frozenset("article main section div nav aside footer header form table td th body blockquote ul ol dl".split())
 
 
 class Element:
-    """An open element: its tag, path, and whether its text is dropped or in an article."""
+    """An open element: its tag, path, and whether its text is dropped, in an article (1 by a word, 2 by a tag or role), or in a container there."""
 
-    __slots__ = ("tag", "path", "drop", "main", "headed")
+    __slots__ = ("tag", "path", "drop", "main", "boxed")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None) -> None:
-        words, hidden = set(), False
+        words, hidden, role = set(), False, False
         for name, value in _ATTR.findall(attrs) if attrs else ():
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
                 words |= set(re.split(r"[^a-z0-9]+", value))
                 words |= set(value.split())
+                role |= name == "role" and value == "main"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
-        up_drop, up_main = (parent.drop, parent.main) if parent else (False, False)
+        up_drop, up_main = (parent.drop, parent.main) if parent else (False, 0)
         self.tag = tag
-        self.main = up_main or tag in ("article", "main") or "main" in words
+        self.main = max(up_main, 2 if tag in ("article", "main") or role else int("main" in words))
+        self.boxed = bool(parent and parent.boxed or up_main and tag in _BOXES)
         marks = words & _WORDS - (_HEADS if up_main else frozenset())
         named = bool(marks) and tag not in ("html", "body", "article", "main")
         self.drop = up_drop or hidden or tag in _DROPPED or tag == "header" and not up_main or named or tag == "article" and bool(words & {"comment", "comments", "reply"})
@@ -91,14 +100,15 @@ def hash32(key: tuple) -> int:
 
 
 class Page:
-    """One page's tokens in order and its text blocks: (place among the tokens, drop, main, text)."""
+    """One page's tokens in order, its text blocks: (place among the tokens, drop, main, text), and of each kept text's token (main, boxed, length)."""
 
-    __slots__ = ("tokens", "blocks", "has_main")
+    __slots__ = ("tokens", "blocks", "texts", "has_main")
 
     def __init__(self, source: str) -> None:
         self.tokens: list[int] = []
-        self.blocks: list[tuple[int, bool, bool, str]] = []
-        self.has_main = False
+        self.blocks: list[tuple[int, bool, int, str]] = []
+        self.texts: dict[int, tuple[int, bool, int]] = {}
+        self.has_main = 0
         stack: list[Element] = []
         seen: dict[tuple, Element] = {}
         text: list[str] = []
@@ -109,9 +119,12 @@ class Page:
                 text.clear()
                 if joined:
                     e = stack[-1] if stack else None
-                    drop, main = (e.drop, e.main) if e else (False, False)
+                    drop, main = (e.drop, e.main) if e else (False, 0)
                     self.blocks.append((len(self.tokens), drop, main, joined))
-                    self.tokens.append(hash32((e.path if e else 0, "text", "" if main or drop else joined)))
+                    token = hash32((e.path if e else 0, "text", "" if drop else joined))
+                    self.tokens.append(token)
+                    if not drop:
+                        self.texts[token] = (main, bool(e and e.boxed), len(joined))
 
         def pop(n: int) -> None:
             if any(e.tag in _BLOCK or e.drop for e in stack[n:]):
@@ -157,11 +170,11 @@ class Page:
                 text.append(" " if tag in ("br", "wbr", "hr") else "")
                 continue
             parent = stack[-1] if stack else None
-            key = (parent.path if parent else 0, parent.drop if parent else False, parent.main if parent else False, tag, m[3])
+            key = (parent.path if parent else 0, parent.drop if parent else False, parent.main if parent else 0, parent.boxed if parent else False, tag, m[3])
             e = seen.get(key)
             if e is None:
                 e = seen[key] = Element(tag, m[3], parent)
-            self.has_main |= e.main and not e.drop
+            self.has_main = max(self.has_main, 0 if e.drop else e.main)
             if tag in _RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else end
@@ -175,17 +188,47 @@ class Page:
         flush()
 
 
+def _constant(pages: list[Page]) -> set[int]:
+    """The text tokens that enough versions hold."""
+    root = list(range(len(pages)))
+    sizes = [sum(x[2] for x in p.texts.values()) for p in pages]
+    for b in range(len(pages)):
+        for a in range(b):
+            if root[a] != root[b]:
+                both = sum(pages[a].texts[t][2] for t in pages[a].texts.keys() & pages[b].texts.keys())
+                if 2 * both >= max(sizes[a], sizes[b]):
+                    old, new = root[b], root[a]
+                    root = [new if x == old else x for x in root]
+    versions: dict[int, set[int]] = defaultdict(set)
+    kinds: dict[int, tuple[int, bool, int]] = {}
+    for p, x in zip(pages, root, strict=True):
+        for t, kind in p.texts.items():
+            versions[t].add(x)
+            kinds[t] = kind
+    n, out = len(set(root)), set()
+    for t, held in versions.items():
+        main, boxed, _ = kinds[t]
+        if main:
+            if boxed and len(held) >= SURE and 5 * len(held) >= 4 * n:
+                out.add(t)
+        else:
+            out.add(t)
+    return out
+
+
 def deduce(pages: list[Page]) -> set[int]:
     """The tokens of the template: the union of the valid equivalence classes."""
     different = list({tuple(p.tokens): p for p in pages}.values())
     if len(different) < 2:
         return set()
+    constant = _constant(different)
     vectors: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(different), np.int32))
     places: list[dict[int, list[int]]] = []
     for k, p in enumerate(different):
         at: dict[int, list[int]] = defaultdict(list)
         for i, t in enumerate(p.tokens):
-            at[t].append(i)
+            if t in constant or t not in p.texts:
+                at[t].append(i)
         places.append(at)
         for t, x in at.items():
             vectors[t][k] = len(x)
@@ -234,14 +277,11 @@ def extract(sources: list[str | None]) -> list[str]:
     template = deduce(pages)
     out = []
     for p in pages:
-        kept = []
-        for place, drop, main, text in p.blocks:
-            if drop or p.has_main and not main:
-                continue
-            if not main and p.tokens[place] in template:
-                continue  # constant text outside an article is template
-            kept.append(text)
-        out.append("\n".join(kept))
+        slots = [(main, text) for place, drop, main, text in p.blocks if not drop and p.tokens[place] not in template]
+        inside = sum(len(text) for main, text in slots if main)
+        if p.has_main and 2 * inside >= sum(len(text) for _, text in slots) or p.has_main == 2 and not inside:
+            slots = [x for x in slots if x[0]]
+        out.append("\n".join(text for _, text in slots))
     return out
 
 

@@ -74,3 +74,17 @@ def test_query_over_odd_rows(spark, tmp_path):
     assert got == sorted((*w, len(w[2])) for w in want)
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert H.main_text(none).collect() == []
+
+
+def test_constant_boxes_inside_an_article_go():
+    body = lambda k: f'<article><h1>Story {k}</h1><p>It was told on day {k} by {k * 7} people, and again on day {k + 1}.</p><div class="x7"><p>Try our app</p></div><p>The end.</p></article>'
+    want = [f"Story {k}\nIt was told on day {k} by {k * 7} people, and again on day {k + 1}.\nThe end." for k in range(8)]
+    assert H.extract([PAGE.format(n=k, body=body(k)) for k in range(8)]) == want
+    assert H.extract([PAGE.format(n=k, body=body(1)) for k in range(8)]) == [want[1].replace("\nThe", "\nTry our app\nThe")] * 8  # copies
+
+
+def test_an_article_counts_where_it_holds_the_bulk():
+    story = "<p>A long story that fills the page and is not in the small element.</p>" * 3
+    assert H.extract([f'<div id="main-image"><p>Caption</p></div><div class="c">{story}</div>'])[0].count("long story") == 3
+    assert H.extract([f'<div class="c">{story}</div><article><p>Teaser</p></article>'])[0].count("long story") == 3
+    assert H.extract(["<div>Small</div><article><p>The article's own text.</p></article>"]) == ["The article's own text."]
