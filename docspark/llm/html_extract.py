@@ -8,9 +8,9 @@ template tokens are slots; slots whose template tags are menus, adverts, notices
 left out, constant text belongs to the template, and the text of the remaining slots is the result.
 
 Text counts as constant by the share of the group's versions that hold it: pages that have half of their text in
-common are copies of each other and one version, so copies and near copies keep their text. Inside an article it
-takes four fifths of the versions and four at least, and only text in a container counts, not the article's own
-paragraphs. An article (a tag, a role, or the word main in a
+common are copies of each other and one version, so copies and near copies keep their text. Outside an article it
+takes half of the versions, two at least, and four for long text; inside, four fifths and four at least, and only
+for text in a container of the article, not for its own paragraphs. An article (a tag, a role, or the word main in a
 class or id) counts where it holds half of the page's slots or more. A page alone on its host has no vectors to
 compare; its own tags then are its template.
 
@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_batches
 
 GROUP = 32
-#: The versions that hold a template's text in an article, at least.
-SURE = 4
+#: Characters from which on a text is long, and the versions that hold a template's long text, or text in an article, at least.
+LONG, SURE = 120, 4
 #: A host with this share of the pages is spread over tasks.
 HEAVY_SHARE = 1000
 
@@ -207,11 +207,11 @@ def _constant(pages: list[Page]) -> set[int]:
             kinds[t] = kind
     n, out = len(set(root)), set()
     for t, held in versions.items():
-        main, boxed, _ = kinds[t]
+        main, boxed, length = kinds[t]
         if main:
             if boxed and len(held) >= SURE and 5 * len(held) >= 4 * n:
                 out.add(t)
-        else:
+        elif 2 * len(held) >= n and len(held) >= (2 if length < LONG else SURE):
             out.add(t)
     return out
 

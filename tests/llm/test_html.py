@@ -88,3 +88,15 @@ def test_an_article_counts_where_it_holds_the_bulk():
     assert H.extract([f'<div id="main-image"><p>Caption</p></div><div class="c">{story}</div>'])[0].count("long story") == 3
     assert H.extract([f'<div class="c">{story}</div><article><p>Teaser</p></article>'])[0].count("long story") == 3
     assert H.extract(["<div>Small</div><article><p>The article's own text.</p></article>"]) == ["The article's own text."]
+
+
+LINE = "Number {} of many lines, written to be a paragraph of the usual length, so that two of them are not a menu, nor a notice, nor a slogan."
+
+
+def test_near_copies_and_shared_passages_keep_their_text():
+    lines = [LINE.format(k) for k in range(6)]
+    page = lambda own: "<div>" + "".join(f"<p>{x}</p>" for x in own) + "</div>"
+    other = [[LINE.format(f"{k}/{j}") for j in range(4)] for k in range(8)]
+    made = [lines, [*lines[:5], "Changed."], [*other[0], lines[0]], *other[1:]]  # a near copy, and a passage in a third page
+    for n in (2, 3, len(made)):
+        assert H.extract([page(x) for x in made[:n]]) == ["\n".join(x) for x in made[:n]]
