@@ -15,7 +15,8 @@ class or id) counts where it holds half of the page's slots or more. A page alon
 compare; its own tags then are its template.
 
 Pages travel compressed. Hosts that hold a thousandth of all pages or more (at most a thousand such) are spread by
-page id; groups of other hosts are streamed, GROUP pages at a time.
+page id; groups of other hosts are streamed, GROUP pages at a time, and the last of a host's pages are dealt to two
+groups of like size, so that none is left to a page or two.
 
 Defined results: null or empty html gives an empty text; a url without a host is a host of its own kind; repeated
 rows give a row each; markup that breaks off is closed at its end. Extra columns are not read.
@@ -289,21 +290,33 @@ def _groups(batches):
     plain = zstandard.ZstdDecompressor()
     key, ids, urls, sources = None, [], [], []
 
-    def done():
-        texts = extract(sources)
+    def done(n: int):
+        texts = extract([plain.decompress(x).decode() if x else "" for x in sources[:n]])
+        made = record(ids[:n], urls[:n], texts)
+        del ids[:n], urls[:n], sources[:n]
+        return made
+
+    def rest():
+        """What a host has left, in two groups of like size where it is more than one."""
+        if len(ids) > GROUP:
+            yield done(len(ids) // 2)
+        if ids:
+            yield done(len(ids))
+
+    def record(ids, urls, texts):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     for b in batches:
         for host, salt, i, u, packed in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-            if ids and (key != (host, salt) or len(ids) >= GROUP):
-                yield done()
-                ids, urls, sources = [], [], []
+            if key != (host, salt):
+                yield from rest()
+            elif len(ids) >= 2 * GROUP:
+                yield done(GROUP)
             key = (host, salt)
             ids.append(i)
             urls.append(u)
-            sources.append(plain.decompress(packed).decode() if packed else "")
-    if ids:
-        yield done()
+            sources.append(packed)
+    yield from rest()
 
 
 def _press(batches):
@@ -322,7 +335,7 @@ def main_text(pages: DataFrame, *, id: str = "page_id", url: str = "url", html:
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(GROUP, -(-total // HEAVY_SHARE))
-    heavy = {r.host: -(-r.n // least) for r in counts.where(F.col("n") > least).collect()}  # at most HEAVY_SHARE rows
+    heavy = {r.host: r.n // least for r in counts.where(F.col("n") > least).collect()}  # at most HEAVY_SHARE rows
     spread = F.create_map(*(F.lit(x) for kv in heavy.items() for x in kv))[F.col("host")] if heavy else F.lit(None).cast("int")
     salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), spread), F.lit(0)).cast("bigint")
     packed = rows.select("host", salt.alias("salt"), "page_id", "url", "html").mapInArrow(_press, "host string, salt bigint, page_id bigint, url string, packed binary")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import html as entities
 import re
 
+import pyarrow as pa
+
 from docspark.llm import html_extract as H, queries
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>T &amp; t</title><style>p{{margin:0}}</style><script>var t="</p><p>x";if(a<b)track({n});</script></head>
@@ -100,3 +102,12 @@ def test_near_copies_and_shared_passages_keep_their_text():
     made = [lines, [*lines[:5], "Changed."], [*other[0], lines[0]], *other[1:]]  # a near copy, and a passage in a third page
     for n in (2, 3, len(made)):
         assert H.extract([page(x) for x in made[:n]]) == ["\n".join(x) for x in made[:n]]
+
+
+def test_no_group_of_a_large_host_is_small():
+    body = "<html><body><div><p>Home and more</p></div><div><p>Story {0} begins here and goes on for {0} days.</p></div></body></html>"
+    for n in (33, 65, 66):
+        rows = [["one.example"] * n, [0] * n, list(range(n)), ["u"] * n, [body.format(i) for i in range(n)]]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["host", "salt", "page_id", "url", "html"])
+        got = [r for b in H._groups(H._press([batch])) for r in b.to_pylist()]
+        assert [(r["page_id"], r["text"]) for r in got] == [(i, f"Story {i} begins here and goes on for {i} days.") for i in range(n)]
