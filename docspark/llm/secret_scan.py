@@ -25,7 +25,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|authorization)["']?[\x20\t]*(?:is|are|was|=>|:=|->|==?|:|\x20)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|([^\s"'`<>]+))""", re.I | re.A)
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/@]+)@")
-_HINTS = ("passw", "passp", "passc", "pass:", "pass=", "pass ", "pwd", "secret", "token", "api", "key", "credential", "bearer", "authorization")
+#: Every match of _CONTEXT holds one of these.
+_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 #: log10 of the guesses from which on a value counts as a secret.
 MIN_COST = 9.0
 MIN_LENGTH = 8

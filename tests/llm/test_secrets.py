@@ -96,3 +96,16 @@ def test_redaction_leaves_nothing_and_changes_nothing_else(docs_of):
         else:
             assert not S.scan(r.text) and "[REDACTED:" in r.text
     assert S.redact(docs_of([])).collect() == [] and S.find(docs_of([])).collect() == []
+
+
+WORDS = ["pass", "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api key", "apikey", "api_key", "access-key", "private key", "credential", "credentials", "bearer", "authorization"]
+
+
+def test_every_context_word_with_every_separator_alone():
+    value = "vT9#kq2LxZ8m"
+    for word in WORDS:
+        for before in ("", '"', "'"):
+            for sep in (" is ", " are ", " was ", "=>", " => ", ":=", "->", "=", "==", ":", ": ", "\t= ", "\t:\t", " "):
+                for quote in ("", '"', "'", "`"):
+                    text = f"{before}{word}{before}{sep}{quote}{value}{quote}"
+                    assert any(s <= text.index(value) and e >= text.index(value) + 3 for _, s, e, _ in S.scan(text)), text
