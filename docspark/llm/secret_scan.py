@@ -2,7 +2,9 @@
 
 The guess cost is the least sum, over all ways to cut a value into common words, dates, repeats, keyboard walks and
 brute-force characters, of the parts' log10 guesses. A costly value is one that a person would hardly have typed as
-prose, so it is taken for a secret.
+prose, so it is taken for a secret. Every value in quotes, after a sign (: = := == => ->), after Authorization: Bearer
+or in a URL is scored. A bare value after a space, is, are or was may be the next word of a sentence: it is scored
+only if it has MIN_LENGTH characters and is not like a word. A value that holds a redaction's mark is not scored.
 
 Defined results: a null or empty text has no spans. Spans are code points, end exclusive. Spans of the base
 patterns always stay; a guess span is added only where its value touches no base span.
@@ -29,6 +31,7 @@ _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/@]+)@")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 #: log10 of the guesses from which on a value counts as a secret.
 MIN_COST = 9.0
+#: Least length of a bare value that no sign stands before.
 MIN_LENGTH = 8
 #: What a redacted span begins with.
 MARK = "[REDACTED:"
@@ -115,21 +118,27 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def context_values(text: str) -> list[tuple[int, int]]:
-    """Values that follow a credential word, or stand as the password of a URL."""
+_HEADER = re.compile(r"""authorization["']?[\x20\t]*(?:=>|:=|->|==?|:)[\x20\t]*["'`]?\Z""", re.I | re.A)
+
+
+def context_values(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, bare) of values that follow a credential word, or stand as the password of a URL; bare ones may be prose."""
     out, low = [], text.lower()
     if any(h in low for h in _HINTS):
         at = 0
         while m := _CONTEXT.search(text, at):
             k = m.lastindex or 0
             s, e = m.span(k)
+            bare = k == 4 and text[m.start() : s].rstrip(" \t")[-1] not in "=:>"
+            if bare and text[m.start() : m.start() + 6].lower() == "bearer":
+                bare = not _HEADER.search(text[max(0, m.start() - 40) : m.start()])
             at = max(s, m.start() + 1)  # a value may be a credential word itself, as in Authorization: Bearer
             if k == 4:
                 while e > s and text[e - 1] in ".,;:!?)]}":
                     e -= 1
-            out.append((s, e))
+            out.append((s, e, bare))
     if "://" in text:
-        out += [m.span(1) for m in _URL.finditer(text)]
+        out += [(*m.span(1), False) for m in _URL.finditer(text)]
     return out
 
 
@@ -157,11 +166,9 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int, int, i
     base = base_spans(text)
     out: list[tuple[int, int, int, float | None]] = [(k, s, e, None) for k, s, e in base]
     done: set[tuple[int, int]] = set()
-    for s, e in context_values(text):
+    for s, e, bare in context_values(text):
         value = text[s:e]
-        if value.startswith(MARK):
-            continue
-        if len(value) < MIN_LENGTH or (s, e) in done or " " in value.strip() and not _mixed(value) or not _mixed(value):
+        if MARK in value or (s, e) in done or bare and (len(value) < MIN_LENGTH or not _mixed(value)):
             continue
         if any(s < be and bs < e for _, bs, be in base) or any(s < de and ds < e for ds, de in done):
             continue

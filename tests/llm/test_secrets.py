@@ -109,3 +109,13 @@ def test_every_context_word_with_every_separator_alone():
                 for quote in ("", '"', "'", "`"):
                     text = f"{before}{word}{before}{sep}{quote}{value}{quote}"
                     assert any(s <= text.index(value) and e >= text.index(value) + 3 for _, s, e, _ in S.scan(text)), text
+
+
+def test_costly_values_of_one_kind_of_character():
+    for text, value in [
+        ("pwd=qzxwvkjtrpmbhdfl", "qzxwvkjtrpmbhdfl"), ("passphrase: kjhqwzxvbmtrpl", "kjhqwzxvbmtrpl"), ("passcode: 83017465921308", "83017465921308"), ("pass -> 83017465921308", "83017465921308"),
+        ("Authorization: Bearer qzxwvkjtrpmbhdflqz", "qzxwvkjtrpmbhdflqz"), ('pwd is "qzxwvkjtrpmbhdfl"', "qzxwvkjtrpmbhdfl"), ("pwd='#9~%;^!'", "#9~%;^!"), ("https://user:qzxwvkjtrpmbhdfl@host/x", "qzxwvkjtrpmbhdfl"),
+    ]:
+        assert [(S.KINDS[k], text[s:e]) for k, s, e, _ in S.scan(text)] == [("guess", value)], text
+    for text in ["the secret photosynthesis of plants", "the token was photosynthesis", "pwd: password", "passcode: 19840612", "the bearer photosynthesis", "credentials are handwritten"]:
+        assert S.scan(text) == [], text
