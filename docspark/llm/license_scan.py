@@ -1,6 +1,7 @@
 """Licence scans: canonical texts, looked up whole by their digests.
 
-A unit is a whole document, one of its paragraphs (of two lines or more), or one of its lines. Its canonical form
+A unit is a whole document, one of its paragraphs (of two lines or more), one of its lines, or a run of adjacent
+paragraphs that has a known text's length and first word. Its canonical form
 drops copyright lines, lowers case, turns punctuation and white space into single spaces and replaces equivalent
 spellings; the digest of that form is joined by hash to the digests of known licence texts and notices. The table of
 known digests is part of the program, so sending it to every task is bounded.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches
-from .licenses import KNOWN
+from .licenses import KNOWN, WHOLE
 
 #: Equivalent spellings, the canonical one last.
 EQUIVALENT = [
@@ -70,11 +71,34 @@ def units(text: str):
         at += len(line) + 1
 
 
+def runs(text: str, sizes: frozenset[int], firsts: frozenset[str]):
+    """(ordinal, start, end, form) of the runs of two paragraphs or more that are of a known size and less than the document."""
+    marks = [m.span() for m in _BLANK.finditer(text)]
+    if not marks:
+        return
+    forms, at = [], 0
+    for k, (s, e) in enumerate([*marks, (len(text), len(text))]):
+        if form := canonical(text[at:s]):
+            forms.append((k, at, s, form))
+        at = e
+    most = max(sizes, default=0)
+    for i, (k, start, _, form) in enumerate(forms):
+        if form.split(" ", 1)[0] not in firsts:
+            continue
+        n = len(form)
+        for j in range(i + 1, len(forms)):
+            n += 1 + len(forms[j][3])
+            if n > most:
+                break
+            if n in sizes and j - i + 1 < len(forms):
+                yield k, start, forms[j][2], " ".join(x[3] for x in forms[i : j + 1])
+
+
 SCHEMA = "array<struct<unit:string,ordinal:bigint,start:bigint,end:bigint,digest:string>>"
 _ARROW = pa.list_(pa.struct([("unit", pa.string()), ("ordinal", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.string())]))
 
 
-def _digests(sizes: frozenset[int]):
+def _digests(sizes: frozenset[int], firsts: frozenset[str]):
     def of(column: pa.Array) -> pa.Array:
         out = []
         for text in column.to_pylist():
@@ -83,6 +107,7 @@ def _digests(sizes: frozenset[int]):
                 form = canonical(text[s:e])
                 if form and len(form) in sizes:  # a form of another length has another digest
                     rows.append({"unit": unit, "ordinal": k, "start": s, "end": e, "digest": digest(form)})
+            rows += [{"unit": "run", "ordinal": k, "start": s, "end": e, "digest": digest(form)} for k, s, e, form in (runs(text, sizes, firsts) if text else ())]
             out.append(rows)
         return pa.array(out, _ARROW)
 
@@ -94,9 +119,11 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", texts: dict
     spark = docs.sparkSession
     bounded_batches(spark)
     forms = {name: [canonical(t) for t in ts] for name, ts in (KNOWN if texts is None else texts).items()}
-    rows = sorted({(digest(f), name) for name, fs in forms.items() for f in fs if f})
+    whole = WHOLE if texts is None else []
+    rows = sorted({(digest(f), name) for name, fs in forms.items() for f in fs if f} | {(d, name) for name, d, _, _ in whole})
     table = spark.createDataFrame(rows, "known string, license string")
-    made = _digests(frozenset(len(f) for fs in forms.values() for f in fs))
+    sizes = frozenset(len(f) for fs in forms.values() for f in fs if f) | {n for _, _, n, _ in whole}
+    made = _digests(sizes, frozenset(f.split(" ", 1)[0] for fs in forms.values() for f in fs if f) | {first for _, _, _, first in whole})
     found = docs.select(F.col(id).alias("_id"), F.explode(made(F.col(text))).alias("u"))
     return found.join(F.broadcast(table), F.col("u.digest") == table.known).select(F.col("_id").alias(id), "license", "u.unit", "u.ordinal", "u.start", "u.end")
 

@@ -1,4 +1,4 @@
-"""Public licence texts and notices, as fixed values: SPDX id -> texts that stand for it whole.
+"""Public licence texts and notices, as fixed values: SPDX id -> texts that stand for it whole, and digests of long texts.
 
 Copyright lines are left out, as the scan leaves them out of what it compares."""
 
@@ -56,3 +56,32 @@ KNOWN: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
+
+#: (license, digest of the canonical form, its length, its first word) of long texts as Debian has them in common-licenses: whole, and to the end of the terms.
+WHOLE: list[tuple[str, str, int, str]] = [
+    ("Apache-2.0", "034ae5390f583decb6035b4efecdc60a52d03c7ffa36048800e808bc85ad8593", 8751, "apache"),
+    ("Apache-2.0", "4569de668b624d1865dbbc461f0267a9b0497cda055124d969773fea977535f4", 8723, "apache"),
+    ("Apache-2.0", "f7ac0e2cd8ed263cfdfaab47b7e9f06c851447f95b80485a8dc7625a1ad331c5", 9768, "apache"),
+    ("Artistic-1.0-Perl", "f7fec2048e2502b8b653a12ac095bcb0601f72bbd1d535b2e8adf8e097d2f915", 5653, "the"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", 6691, "creative"),
+    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86", 19515, "gnu"),
+    ("GFDL-1.3", "6b9794ec33b354e192c8493abb967e647116caaf4c728223f31cee4aa0e40928", 21883, "gnu"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", 9415, "gnu"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70", 9387, "gnu"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c", 11702, "gnu"),
+    ("GPL-2.0", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017", 14391, "gnu"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", 17053, "gnu"),
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999", 14419, "gnu"),
+    ("GPL-3.0", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30", 33207, "gnu"),
+    ("GPL-3.0", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee", 30738, "gnu"),
+    ("GPL-3.0", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975", 30766, "gnu"),
+    ("LGPL-2.0", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d", 23936, "gnu"),
+    ("LGPL-2.0", "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513", 22146, "gnu"),
+    ("LGPL-2.0", "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a", 22118, "gnu"),
+    ("LGPL-2.1", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e", 25023, "gnu"),
+    ("LGPL-2.1", "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a", 23206, "gnu"),
+    ("LGPL-2.1", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1", 23234, "gnu"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104, "gnu"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986", 22448, "mozilla"),
+    ("MPL-2.0", "4544af666fc42fe3ea03e86d5db9fef4f4c41c50c15f04550119fdb67822747b", 14354, "mozilla"),
+]

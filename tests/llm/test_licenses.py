@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 from docspark.llm import license_scan as S
 from docspark.llm.licenses import KNOWN, MIT
 
@@ -38,3 +40,16 @@ def test_rows_against_every_unit(spark, docs_of):
 def test_own_texts(docs_of):
     got = S.scan(docs_of([(1, "My Terms!"), (2, "else")]), texts={"mine": ["my terms", ""]}).collect()
     assert [(r.doc_id, r.license) for r in got] == [(1, "mine")]
+
+
+def test_whole_texts_and_runs_of_paragraphs(docs_of):
+    folder = Path("/usr/share/common-licenses")
+    whole = {i: (folder / name).read_text() for i, name in enumerate(("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")) if (folder / name).exists()}
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"]
+    rows = [(i, t) for i, t in whole.items()] + [(10 + i, f"Readme\n\nA tool.\n\n{t}\n\nThat is all.") for i, t in whole.items()]
+    rows += [(20, f"Readme\n\nA tool.\n\n{MIT}\n\nThat is all."), (21, f"Readme\n\nMIT License\n\nCopyright 2020 X\n\n{MIT}"), (22, "Readme\n\n" + MIT.replace("free of charge", "for a fee"))]
+    got = {(r.doc_id, r.license, r.unit) for r in S.scan(docs_of(rows)).collect()}
+    assert got >= {(i, names[i], "document") for i in whole} | {(10 + i, names[i], "run") for i in whole} | {(20, "MIT", "run"), (21, "MIT", "run")}
+    assert not any(g[0] == 22 for g in got)
+    at = [(r.start, r.end) for r in S.scan(docs_of(rows)).collect() if r.doc_id == 20]
+    assert [rows[[x[0] for x in rows].index(20)][1][s:e] for s, e in at] == [MIT]
