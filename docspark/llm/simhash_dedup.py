@@ -1,34 +1,48 @@
 """SimHash near-duplicates by an inverted index on byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 of their 8 bytes, so they share at least 6
-positional bytes (position, value). The index lists every distinct fingerprint under each choice of 6 positions and
-their bytes; a list is thus the set of fingerprints whose tally of shared positional bytes reaches the guaranteed
-minimum, and never holds more than 65,536 of them, as two bytes are left. Inside a list, fingerprints that the
-count filter retained are verified on the differing bits: pair by pair in short lists, in longer ones by looking up
-each one's 136 neighbours, so that a list of k costs k lookups and yields less than k links. Components of the links come from alternating star rounds.
+positional bytes (position, value). Lists of one positional byte would hold 1/256 of all fingerprints each; so the
+index joins the positions to four blocks of two, and lists every distinct fingerprint under each choice of two
+blocks and their 4 bytes. As two bytes touch two blocks at most, every link meets in a list. Inside a list the shared
+positional bytes of each pair are tallied, pairs that reach the guaranteed minimum of 6 are retained, and the
+retained are verified on the differing bits.
+
+Lists longer than LIST_MAX are told by a count beforehand and refined instead: each member is listed again under each
+choice of 2 of the 4 positions left, so that what meets has a tally of 6, and each list has two bytes left, 65,536
+members at most. There the 136 differences of at most 2 bits are looked up. So no task holds a list of unbounded
+size, no list costs more than LIST_MAX^2 / 2 tallies or 136 lookups a member, and nothing is left out. A list of k
+yields less than k links. Components of the links come from alternating star rounds.
 
 Equal fingerprints are one vertex, so a group of copies of any size costs one row.
 
 Defined results: a null, empty or wordless text has the fingerprint zero and links like any other; rows that repeat
 a doc_id keep their own fingerprint; a null doc_id is never a component's smallest unless all are null. Extra
-columns pass through with_fingerprint.
+columns pass through with_fingerprint, one named like the result as input_<name>.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, bounded_batches, discard, materialize
+from .common import apart, as_bytes, bounded_batches, discard, materialize
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-_KEPT = list(combinations(range(8), 8 - MAX_BITS))
+#: Positions of four blocks of two bytes, and the choices of the blocks that a link leaves untouched at least.
+_BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
+_KEPT = [a + b for a, b in combinations(_BLOCKS, 4 - MAX_BITS)]
+#: The positions that a refined list adds to a choice of _KEPT.
+_ADDED = [list(combinations(sorted({*range(8)} - {*kept}), 8 - MAX_BITS - 4)) for kept in _KEPT]
+#: Members of a list whose pairs are tallied; longer ones are refined.
+LIST_MAX = 2048
+#: Marks the posting of a refined list.
+_REFINED = 1 << 60
 _BITS = 1 << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -63,61 +77,100 @@ def _fingerprint(text: pa.Array) -> pa.Array:
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
     """docs with the fingerprint's 64 bits as a long."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(to, F.arrow_udf(_fingerprint, "bigint")(F.col(text)))
+    return apart(docs, to).withColumn(to, F.arrow_udf(_fingerprint, "bigint")(F.col(text)))
+
+
+def _key(fp: np.ndarray, positions: tuple[int, ...], number: int) -> np.ndarray:
+    """A list's number and the bytes of the fingerprints at its positions, in one long."""
+    key = np.full(len(fp), number, np.uint64)
+    for p in positions:
+        key = (key << np.uint64(8)) | ((fp >> np.uint64(8 * p)) & np.uint64(255))
+    return key
 
 
 def _postings(batches):
-    """Each fingerprint under each choice of 6 positions: the choice and its 6 bytes in one long."""
+    """Each fingerprint under each choice of two blocks."""
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for c, kept in enumerate(_KEPT):
-            key = np.full(len(fp), c, np.uint64)
-            for p in kept:
-                key = (key << np.uint64(8)) | ((fp >> np.uint64(8 * p)) & np.uint64(255))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["posting", "fp"])
-
-
-#: All differences of at most MAX_BITS bits.
-_NEAR = np.array(sorted({0} | {1 << a | 1 << b for a in range(16) for b in range(16)}), np.int64)
-
-
-def _list_links(fp: np.ndarray, lost: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Links that span the groups of one list: verified neighbours, joined as they are found."""
-    rest = np.zeros(len(fp), np.int64)
-    for p in lost:
-        rest = (rest << 8) | ((fp >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64)
-    order = np.argsort(rest, kind="stable")
-    rest, fp = rest[order], fp[order]
-    root = list(range(len(fp)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    if len(fp) <= 64:
-        a, b = np.triu_indices(len(fp), 1)
-        differ = fp[a] ^ fp[b]
-        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # positional bytes that a pair shares
-        near = (tally >= 8 - MAX_BITS) & (np.bitwise_count(differ) <= MAX_BITS)
-        pairs = zip(a[near].tolist(), b[near].tolist(), strict=True)
-    else:
-        at = np.full(1 << 16, -1, np.int64)
-        at[rest] = np.arange(len(fp))
-        found = ((i, j) for d in _NEAR[1:] for i, j in _hits(at, rest, int(d)))
-        pairs = found
-    for i, j in pairs:
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return [(int(fp[find(i)]), int(fp[i])) for i in range(len(fp)) if find(i) != i]
+            yield pa.RecordBatch.from_arrays([pa.array(_key(fp, kept, c).view(np.int64)), pa.array(fp.view(np.int64))], names=["posting", "fp"])
 
 
-def _hits(at: np.ndarray, rest: np.ndarray, d: int):
-    j = at[rest ^ d]
-    i = np.flatnonzero(j > np.arange(len(rest)))
-    return zip(i.tolist(), j[i].tolist(), strict=True)
+def _refine(batches):
+    """Rows (posting, fp, long): those of a long list under each choice of 2 more positions, the others as they are."""
+    for batch in batches:
+        key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+        long = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+        out = [(key[~long], fp[~long])]
+        for c, kept in enumerate(_KEPT):
+            own = fp[long & (key >> 32 == c)].view(np.uint64)
+            for k, added in enumerate(_ADDED[c] if len(own) else ()):
+                out.append((_key(own, kept + added, 8 * c + k).view(np.int64) | _REFINED, own.view(np.int64)))
+        keys, fps = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], names=["posting", "fp"])
+
+
+def retained(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of rows sorted by list: the places of the pairs of a list whose tally of shared positional bytes reaches the minimum, and how many pairs were tallied."""
+    first, second, tallied = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    i, d = np.arange(len(key)), 1
+    while len(i := i[: np.searchsorted(i, len(key) - d)]) and len(i := i[key[i] == key[i + d]]):
+        for part in np.array_split(i, -(-len(i) // 65536)):
+            tally = ((fp[part] ^ fp[part + d]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            part = part[tally >= 8 - MAX_BITS]
+            first.append(part)
+            second.append(part + d)
+        tallied += len(i)
+        d += 1
+    return np.concatenate(first), np.concatenate(second), tallied
+
+
+#: All differences of 1 to MAX_BITS bits in the two bytes that a refined list leaves open.
+_NEAR = np.array(sorted({1 << a | 1 << b for a in range(16) for b in range(16)}), np.uint64)
+
+
+def _neighbours(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by refined list, then fingerprint: the places of verified pairs, looked up by each one's differences of at most MAX_BITS bits."""
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edge = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else 0, len(key)].tolist()
+    for s, e in pairwise(edge):
+        if e - s < 2:
+            continue
+        number = int(key[s]) >> 48 & 0xFFF
+        kept = _KEPT[number >> 3]
+        p, q = sorted({*range(8)} - {*kept, *_ADDED[number >> 3][number & 7]})
+        own = fp[s:e]
+        for d in _NEAR:
+            turn = (d >> np.uint64(8)) << np.uint64(8 * q) | (d & np.uint64(255)) << np.uint64(8 * p)
+            at = np.searchsorted(own, own ^ turn)
+            i = np.flatnonzero((own ^ turn > own) & (at < len(own)))
+            i = i[own[at[i]] == own[i] ^ turn]
+            first.append(i + s)
+            second.append(at[i] + s)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least place that each of n places is connected with by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        was, low = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if np.array_equal(root, was):
+            return root
+
+
+def list_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is near within each of whole lists, fewer than members; rows are sorted by list, then fingerprint."""
+    cut = int(np.searchsorted(key, _REFINED))
+    a, b, _ = retained(key[:cut], fp[:cut])
+    near = np.bitwise_count(fp[a] ^ fp[b]) <= MAX_BITS
+    c, d = _neighbours(key[cut:], fp[cut:])
+    root = _joined(np.r_[a[near], c + cut], np.r_[b[near], d + cut], len(fp))
+    rest = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[root[rest]], fp[rest]
 
 
 def _links(batches):
@@ -125,17 +178,10 @@ def _links(batches):
     left = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def of(keys: np.ndarray, fps: np.ndarray):
-        if not len(keys):
-            return
-        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ends = np.r_[edge[1:], len(keys)]
-        out = []
-        for s, e in zip(edge[ends - edge > 1].tolist(), ends[ends - edge > 1].tolist(), strict=True):
-            kept = _KEPT[int(keys[s]) >> 48]
-            out += _list_links(fps[s:e], tuple(p for p in range(8) if p not in kept))
-        if out:
-            a = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        order = np.lexsort((fps, keys))
+        a, b = list_links(keys[order], fps[order])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     for batch in batches:
         keys = np.r_[left[0], batch.column(0).to_numpy(zero_copy_only=False)]
@@ -146,10 +192,13 @@ def _links(batches):
     yield from of(*left)
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
+def links(fingerprints: DataFrame, *, list_max: int = LIST_MAX) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp, distinct) that connect all within MAX_BITS bits."""
     postings = fingerprints.select("fp").mapInArrow(_postings, "posting bigint, fp bigint")
-    return postings.repartition("posting").sortWithinPartitions("posting").mapInArrow(_links, "a bigint, b bigint").distinct()
+    long = postings.groupBy(F.col("posting").alias("_posting")).agg(F.count("*").alias("n")).where(F.col("n") > list_max).select("_posting")
+    told = postings.join(long, F.col("posting") == F.col("_posting"), "left").select("posting", "fp", F.col("_posting").isNotNull().alias("long"))
+    lists = told.mapInArrow(_refine, "posting bigint, fp bigint")
+    return lists.repartition("posting").sortWithinPartitions("posting").mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
