@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs in one process."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,7 +63,8 @@ def clean_up(spark: SparkSession) -> None:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that a run of long texts cannot fill a worker."""
-    if int(spark.conf.get(_BATCH_BYTES_KEY).rstrip("bB")) > BATCH_BYTES:
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES_KEY))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
 
 
@@ -68,3 +72,16 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column's values."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def apart(df: DataFrame, *made: str) -> DataFrame:
+    """df with its columns that have the name of one to be made (in any case) renamed to input_<name>, so that no value is lost."""
+    names = {c.lower() for c in [*df.columns, *made]}
+    for c in df.columns:
+        if c.lower() in {m.lower() for m in made}:
+            new = f"input_{c}"
+            while new.lower() in names:
+                new = f"input_{new}"
+            names.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df

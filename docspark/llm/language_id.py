@@ -9,19 +9,20 @@ As mean and layer are linear, prediction adds up one precomputed row of class sc
 text, without a word list or a loop over words.
 
 Defined results: a null text, or one without a letter, is 'und' with score 0 and rejected; without labelled rows
-every text is 'und'; ties go to the first class by name. Rows are judged one by one, so repeated rows agree.
+every text is 'und'; ties go to the first class by name. Rows are judged one by one, so repeated rows agree. Extra
+columns pass through, one named like the result as input_<name>. A letter is a code point of a Unicode category L.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import apart, bounded_batches
 
 SIZES = (2, 3, 4, 5)
 BUCKETS = 1 << 16
@@ -34,7 +35,7 @@ MAX_BYTES = 64 << 20
 #: Share of the calibration rows that the threshold may reject although they are right.
 REJECTED_RIGHT = 0.005
 _PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -195,4 +196,4 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", to: str = "lan
     def of(column: pa.Array) -> pa.Array:
         return pa.array([dict(zip(("lang", "score", "rejected"), sent.value.predict(x), strict=True)) for x in column.to_pylist()], _ARROW)
 
-    return docs.withColumn(to, F.arrow_udf(of, SCHEMA).asNondeterministic()(F.col(text)))
+    return apart(docs, to).withColumn(to, F.arrow_udf(of, SCHEMA).asNondeterministic()(F.col(text)))

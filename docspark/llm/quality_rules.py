@@ -5,7 +5,8 @@ the rest, and takes the rows it covers away. The list becomes one ordered Spark
 
 Defined results: a null text has no words and fails the base test; labels that are null, or that contradict each
 other for one document, teach nothing; without both classes the list is empty and keeps what passes the base test.
-Repeated rows are judged alike, one by one. Extra columns pass through, the statistics stay in one struct column.
+Repeated rows are judged alike, one by one. Extra columns pass through, one named like a column of the verdict as
+input_<name>; the statistics stay in one struct column.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import apart, as_bytes, bounded_batches
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_lower", "n_exclaim", "n_pipe", "n_digits", "n_distinct", "n_chars"]
@@ -70,7 +71,7 @@ def _statistics(text: pa.Array) -> pa.Array:
 def with_statistics(df: DataFrame, text: str = "text", to: str = "quality_stats") -> DataFrame:
     bounded_batches(df.sparkSession)
     made = F.arrow_udf(_statistics, SCHEMA).asNondeterministic()  # else a filter on it computes it twice
-    return df.withColumn(to, made(F.col(text)))
+    return apart(df, to).withColumn(to, made(F.col(text)))
 
 
 @dataclass(frozen=True)
@@ -178,4 +179,4 @@ def matched_rule(rules: list[Rule], stats: Column) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """docs with quality_stats, quality_rule (the rule that rejects it, or 0), base_failed and kept."""
     stats = F.col("quality_stats")
-    return with_statistics(docs, text).withColumns({"base_failed": base_failed(stats), "quality_rule": matched_rule(rules, stats)}).withColumn("kept", ~F.col("base_failed") & (F.col("quality_rule") == 0))
+    return with_statistics(apart(docs, "base_failed", "quality_rule", "kept"), text).withColumns({"base_failed": base_failed(stats), "quality_rule": matched_rule(rules, stats)}).withColumn("kept", ~F.col("base_failed") & (F.col("quality_rule") == 0))

@@ -87,3 +87,10 @@ def test_odd_labels(spark, docs_of):
     assert Q.fit(docs, label([])) == []
     assert Q.fit(docs, label([(1, None), (None, 0), (1, 1), (1, 0), (9, 0)])) == []
     assert Q.fit(docs_of([]), label([(1, 1), (2, 0)])) == []
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 5, "r", "s")], "doc_id bigint, text string, kept string, base_failed int, quality_rule string, quality_stats string")
+    row = Q.judge(docs, []).first()
+    assert (row.input_kept, row.input_base_failed, row.input_quality_rule, row.input_quality_stats) == ("mine", 5, "r", "s")
+    assert row.kept is False and row.base_failed is True and row.quality_rule == 0 and row.quality_stats.n_words == 3
