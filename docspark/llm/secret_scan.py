@@ -1,25 +1,38 @@
 """Secret scans: three base patterns, and the guess cost of values that stand in a credential context.
 
 The guess cost is the least sum, over all ways to cut a value into common words, dates, repeats, keyboard walks and
-brute-force characters, of the parts' log10 guesses. A costly value is one that a person would hardly have typed as
-prose, so it is taken for a secret. Every value in quotes, after a sign (: = := == => ->), after Authorization: Bearer
-or in a URL is scored. A bare value after a space, is, are or was may be the next word of a sentence: it is scored
-only if it has MIN_LENGTH characters and is not like a word. A value that holds a redaction's mark is not scored.
+brute-force characters, of the parts' log10 guesses. Words are ranked: usual passwords first, then the whole words of
+public vocabularies, whose files list the most frequent first. A costly value is one that a person would hardly have
+typed as prose, so it is taken for a secret.
+
+Every value in quotes, after a sign (: = := == => ->), after Authorization: Bearer or in a URL is scored, whatever it
+is made of. A bare value after a space, is, are or was may be the next word of a sentence, so its cost is held against
+that of prose as well: it must cost BARE_COST for each character, which words and what is joined of words do not, and
+if it is letters only, its letters must follow each other less likely than letters drawn at random would under a
+letter-pair model of the vocabularies' words. Bare values of less than MIN_LENGTH characters are words to this test.
+A value that holds a redaction's mark is not scored.
 
 Defined results: a null or empty text has no spans. Spans are code points, end exclusive. Spans of the base
-patterns always stay; a guess span is added only where its value touches no base span.
+patterns always stay; a guess span is added only where its value touches no base span, and of guess values that touch
+the first in the text wins. Rows are read one by one, so repeated rows agree and an empty table gives an empty one. A
+value of any length is cut in time that grows with it, and no further than it takes to know that it costs ENOUGH.
+Extra columns pass through, one named like the result as input_<name>.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import math
 import re
+from itertools import zip_longest
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import apart, bounded_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,8 +44,12 @@ _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/@]+)@")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 #: log10 of the guesses from which on a value counts as a secret.
 MIN_COST = 9.0
-#: Least length of a bare value that no sign stands before.
-MIN_LENGTH = 8
+#: Where the least cost passes this, the value is cut no further.
+ENOUGH = 36.0
+#: Least length of a bare value that no sign stands before, and the least cost of each of its characters.
+MIN_LENGTH, BARE_COST = 8, 0.9
+#: Files of public vocabularies (a rank and a token a line, the most frequent first) that words are ranked by.
+VOCABULARY = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 #: What a redacted span begins with.
 MARK = "[REDACTED:"
 #: A run of one character, and a keyboard walk: least length, log10 guesses, and more for each character.
@@ -48,13 +65,13 @@ testing demo example sample changeme change please access manager system databas
 value none null true false required optional string number name email phone address reset forgot policy field enter your
 their this that with from have here there when what which about every other should would could must will the and for not
 are was has its all any can may new old one two use set get put see company office market house family love money world""".split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
 _LEET = str.maketrans("4@30157$", "aaeoists")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _MONTH, _DAY = "(?:1[0-2]|0?[1-9])", "(?:3[01]|[12][0-9]|0?[1-9])"
 _DATE = re.compile(rf"(?:19|20)[0-9]{{2}}(?P<more>([-/._]?){_MONTH}(?:\2{_DAY})?)?|(?P<short>{_DAY}([-/._]?){_MONTH}\4(?:19|20)?[0-9]{{2}})")
 YEAR_COST, DATE_COST = 2.2, 4.6
+#: Longest block that may stand twice; a longer repeat is cut into shorter ones.
+REPEAT_MOST = 32
 
 
 def _adjacent() -> set[tuple[str, str]]:
@@ -77,8 +94,58 @@ def _card(c: str) -> float:
     return 1.0 if c.isdigit() else 1.415 if c.isalpha() and c.isascii() else 1.52 if c.isascii() else 2.0
 
 
-def guess_cost(value: str) -> float:
-    """The least log10 guesses over all segmentations."""
+class Lexicon:
+    """Ranks of words of three letters or more, and how likely letters follow each other in them."""
+
+    def __init__(self, usual: list[str], listed: list[list[str]]) -> None:
+        self.rank = {w: i + 1 for i, w in enumerate(usual)}
+        for turn in zip_longest(*listed):
+            for w in turn:
+                if w and w not in self.rank:
+                    self.rank[w] = len(self.rank) + 1
+        self.longest = max(map(len, self.rank), default=0)
+        seen = np.ones((27, 27))
+        for w in self.rank:
+            if w.isascii() and w.isalpha():
+                a = np.frombuffer(w.encode(), np.uint8).astype(int) - 96
+                np.add.at(seen, (np.r_[0, a[:-1]], a), 1)
+        self.pair = -np.log10(seen / seen.sum(axis=1, keepdims=True))
+
+    def prose(self, value: str) -> bool:
+        """Letters, and signs that join words, that follow each other as in words."""
+        if any(not c.isalpha() and c not in _JOINS for c in value):
+            return False
+        if not value.isascii() and any(c.isalpha() and not c.isascii() for c in value):
+            return True
+        parts = [np.frombuffer(x.encode(), np.uint8).astype(int) - 96 for x in _JOINED.split(value.lower()) if x]
+        told = sum(float(self.pair[np.r_[0, a[:-1]], a].sum()) for a in parts)
+        return told <= math.log10(26) * sum(map(len, parts))
+
+
+_JOINS = frozenset("-/'\u2019&.,;:!?()")
+_JOINED = re.compile(r"[^a-z]+")
+
+
+@functools.lru_cache(maxsize=4)
+def lexicon(vocabulary: tuple[str, ...] = VOCABULARY) -> Lexicon:
+    """COMMON_WORDS, then the whole words of the vocabulary files (names for public_tokenizers.path, or paths) in their order."""
+    listed = []
+    for name in vocabulary:
+        if "/" not in name:
+            import public_tokenizers
+
+            name = public_tokenizers.path(name)
+        with open(name, "rb") as f:
+            rows = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, f))
+        words = (t[1:].decode(errors="replace").lower() for _, t in rows if t[:1] == b" ")
+        listed.append([w for w in dict.fromkeys(words) if len(w) >= 4 and w.isalpha()])
+    return Lexicon(COMMON_WORDS, listed)
+
+
+def guess_cost(value: str, enough: float = float("inf"), words: Lexicon | None = None) -> float:
+    """The least log10 guesses over all segmentations; where that is `enough` or more, a number between `enough` and it."""
+    words = words or lexicon()
+    ranks, longest = words.rank, words.longest
     low = value.lower()
     low = low if len(low) == len(value) else value
     plain = low.translate(_LEET)
@@ -87,11 +154,10 @@ def guess_cost(value: str) -> float:
     run = walk = 0  # where the run of one character, and the keyboard walk, that end here begin
     run_low = walk_low = float("inf")  # the least of best[s] less the part's slope times s, over the places s a run or walk may begin at
     dates: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        if m := _DATE.match(low, i):
-            dates.setdefault(m.end(), []).append((i, DATE_COST if m["more"] or m["short"] else YEAR_COST))
     for e in range(1, n + 1):
         i = e - 1
+        if low[i].isdigit() and (m := _DATE.match(low, i)):
+            dates.setdefault(m.end(), []).append((i, DATE_COST if m["more"] or m["short"] else YEAR_COST))
         low_cost = best[i] + _card(value[i])
         if i and low[i] != low[i - 1]:
             run, run_low = i, float("inf")
@@ -103,18 +169,21 @@ def guess_cost(value: str) -> float:
         if e - WALK_LEAST >= walk:
             walk_low = min(walk_low, best[e - WALK_LEAST] - WALK_SLOPE * (e - WALK_LEAST))
             low_cost = min(low_cost, walk_low + WALK_COST + WALK_SLOPE * e)
-        for s, cost in dates.get(e, ()):
+        for s, cost in dates.pop(e, ()):
             low_cost = min(low_cost, best[s] + cost)
-        for s in range(max(0, e - _LONGEST), e - 2):
-            rank = _RANK.get(low[s:e]) or (_RANK.get(plain[s:e], 0) * 4)
-            if rank:
+        for s in range(max(0, e - longest), e - 2):
+            if rank := ranks.get(low[s:e]) or ranks.get(plain[s:e], 0) * 4:
                 part = value[s:e]
                 turned = 0.0 if part.islower() or part[0].isupper() and part[1:].islower() or part.isupper() else 1.0
                 low_cost = min(low_cost, best[s] + 0.3 + math.log10(rank) + turned)
-        for size in range(2, min(33, e // 2 + 1)):  # a block that stands twice
+        for size in range(2, min(REPEAT_MOST + 1, e // 2 + 1)):  # a block that stands twice
             if low[e - size : e] == low[e - 2 * size : e - size]:
                 low_cost = min(low_cost, best[e - size] + 0.7)
         best[e] = low_cost
+        if low_cost >= enough:  # every cut of the whole has a place among the last ones, or in a run or walk that goes on
+            least = min(min(best[max(0, e - max(REPEAT_MOST, longest)) : e + 1]), run_low + RUN_COST + RUN_SLOPE * e, walk_low + WALK_COST + WALK_SLOPE * e)
+            if least >= enough:
+                return least
     return best[n]
 
 
@@ -153,14 +222,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _mixed(value: str) -> bool:
-    """Not like a word of prose: a digit or sign stands beside letters, or capitals inside."""
-    kinds = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value[1:-1])
-    return kinds >= 2 or any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
+def secret_cost(value: str, bare: bool, min_cost: float = MIN_COST, words: Lexicon | None = None) -> float | None:
+    """The cost of a value that is taken for a secret, else null."""
+    words = words or lexicon()
+    if bare and (len(value) < MIN_LENGTH or words.prose(value)):
+        return None
+    least = max(min_cost, BARE_COST * len(value)) if bare else min_cost
+    cost = guess_cost(value, max(ENOUGH, least), words)
+    return cost if cost >= least else None
 
 
-def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int, int, int, float]]:
-    """(kind, start, end, cost) of all spans by start, then kind; cost is that of guess spans, else null."""
+def scan(text: str | None, min_cost: float = MIN_COST, vocabulary: tuple[str, ...] = VOCABULARY) -> list[tuple[int, int, int, float | None]]:
+    """(kind, start, end, cost) of all spans by start, then kind; cost is that of guess spans (ENOUGH or more is a lower bound), else null."""
     if not text:
         return []
     base = base_spans(text)
@@ -168,11 +241,9 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int, int, i
     done: set[tuple[int, int]] = set()
     for s, e, bare in context_values(text):
         value = text[s:e]
-        if MARK in value or (s, e) in done or bare and (len(value) < MIN_LENGTH or not _mixed(value)):
-            continue
-        if any(s < be and bs < e for _, bs, be in base) or any(s < de and ds < e for ds, de in done):
+        if MARK in value or (s, e) in done or any(s < be and bs < e for _, bs, be in base) or any(s < de and ds < e for ds, de in done):
             continue
-        if (cost := guess_cost(value)) >= min_cost:
+        if (cost := secret_cost(value, bare, min_cost, lexicon(vocabulary))) is not None:
             done.add((s, e))
             out.append((3, s, e, cost))
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
@@ -189,7 +260,7 @@ def _scan(text: pa.Array) -> pa.Array:
 def find(docs: DataFrame, text: str = "text", to: str = "secret_spans") -> DataFrame:
     """docs with an array of spans."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(to, F.arrow_udf(_scan, SCHEMA).asNondeterministic()(F.col(text)))
+    return apart(docs, to).withColumn(to, F.arrow_udf(_scan, SCHEMA).asNondeterministic()(F.col(text)))
 
 
 def _redact(text: pa.Array) -> pa.Array:

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import base64
 import hashlib
+import random
 import re
+import string
 
 from docspark.llm import queries, secret_scan as S
 
@@ -62,7 +65,8 @@ def part_cost(part: str) -> float:
         out = min(out, S.RUN_COST + S.RUN_SLOPE * len(part))
     if len(part) >= 4 and all((a, b) in S._NEXT for a, b in zip(low, low[1:], strict=False)):
         out = min(out, S.WALK_COST + S.WALK_SLOPE * len(part))
-    rank = S._RANK.get(low) or S._RANK.get(low.translate(S._LEET), 0) * 4
+    ranks = S.lexicon().rank
+    rank = ranks.get(low) or ranks.get(low.translate(S._LEET), 0) * 4
     if rank and len(part) >= 3:
         usual = part.islower() or part[0].isupper() and part[1:].islower() or part.isupper()
         out = min(out, 0.3 + math.log10(rank) + (0 if usual else 1))
@@ -119,3 +123,52 @@ def test_costly_values_of_one_kind_of_character():
         assert [(S.KINDS[k], text[s:e]) for k, s, e, _ in S.scan(text)] == [("guess", value)], text
     for text in ["the secret photosynthesis of plants", "the token was photosynthesis", "pwd: password", "passcode: 19840612", "the bearer photosynthesis", "credentials are handwritten"]:
         assert S.scan(text) == [], text
+
+
+def test_prose_after_a_credential_word_is_left_alone():
+    for text in [
+        "The secret is well-known.", "a token bucket-based limiter", "the access key rotation/expiry policy", "authorization is role-based here", "the token BlockHashVerifier", "pass through/around", "the secret Verwaltungsgerichtshof", "credentials are self-service/managed",
+    ]:
+        assert S.scan(text) == [], text
+    text = "password xkqjzvwpfmtrbnhgdlsoeyuiac"
+    assert [(S.KINDS[k], text[s:e]) for k, s, e, _ in S.scan(text)] == [("guess", "xkqjzvwpfmtrbnhgdlsoeyuiac")]
+
+
+def test_planted_values_and_prose():
+    """Recall on drawn values of each kind, precision on words of the vocabularies, alone and joined."""
+    r = random.Random(1)
+    for letters in (string.ascii_lowercase, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits):
+        made = ["".join(r.choice(letters) for _ in range(r.choice((12, 16, 24)))) for _ in range(400)]
+        for context, bare in (("password {}", True), ("pwd={}", False), ('"pass": "{}"', False)):
+            found = sum(any(s <= t.index(v) and e >= t.index(v) + len(v) for _, s, e, _ in S.scan(t)) for v in made if (t := context.format(v)))
+            assert found >= (0.97 if bare else 1) * len(made), (letters, context)
+    words = [w for w in S.lexicon().rank if len(w) >= 4]
+    for join in ("{}", "{}-{}", "{}/{}"):
+        assert not any(S.scan(f"the secret {join.format(r.choice(words), r.choice(words))} goes on") for _ in range(400)), join
+
+
+def test_very_long_values_stop_early_and_short_ones_are_whole():
+    r = random.Random(2)
+    values = ["".join(r.choice(string.ascii_letters) for _ in range(240_000)), "a" * 240_000, "abc" * 80_000, "2024" * 60_000, "qwertyuiop" * 24_000, "password" * 30_000]
+    for v in values:
+        assert S.ENOUGH <= S.guess_cost(v, S.ENOUGH)
+    for v in [x[:90] for x in values]:
+        whole, early = S.guess_cost(v), S.guess_cost(v, 12.0)
+        assert early == whole if whole < 12 else 12 <= early <= whole, v
+    text = "pwd=" + values[0] + "!"
+    assert [(S.KINDS[k], s, e) for k, s, e, _ in S.scan(text)] == [("guess", 4, len(text) - 1)]
+
+
+def test_vocabulary_is_a_parameter(tmp_path):
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([b" zqxjkvbw", b"inner", b" ab"])))
+    own = S.lexicon((str(path),))
+    assert set(own.rank) == {*S.COMMON_WORDS, "zqxjkvbw"}
+    assert S.guess_cost("zqxjkvbw", words=own) < 3 < S.guess_cost("zqxjkvbw")
+    assert S.scan("pwd=zqxjkvbw", vocabulary=(str(path),)) == [] != S.scan("pwd=zqxjkvbw")
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "pwd=vT9#kq2LxZ8m", "mine"), (1, "pwd=vT9#kq2LxZ8m", "mine"), (None, None, None)], "doc_id bigint, text string, secret_spans string")
+    rows = S.find(docs).collect()
+    assert [r.input_secret_spans for r in rows] == ["mine", "mine", None] and rows[0].secret_spans == rows[1].secret_spans and rows[2].secret_spans == []
