@@ -8,7 +8,7 @@ typed as prose, so it is taken for a secret.
 Every value in quotes, after a sign (: = := == => ->), after Authorization: Bearer or in a URL is scored, whatever it
 is made of. A bare value after a space, is, are or was may be the next word of a sentence, so its cost is held against
 that of prose as well: it must cost BARE_COST for each character, which words and what is joined of words do not, and
-if it is letters only, its letters must follow each other less likely than letters drawn at random would under a
+if it is letters only, those outside listed words must follow each other less likely than letters drawn at random would under a
 letter-pair model of the vocabularies' words. Bare values of less than MIN_LENGTH characters are words to this test.
 A value that holds a redaction's mark is not scored.
 
@@ -112,12 +112,12 @@ class Lexicon:
         self.pair = -np.log10(seen / seen.sum(axis=1, keepdims=True))
 
     def prose(self, value: str) -> bool:
-        """Letters, and signs that join words, that follow each other as in words."""
+        """Listed words, and letters that follow each other as in words, joined by signs that join words."""
         if any(not c.isalpha() and c not in _JOINS for c in value):
             return False
         if not value.isascii() and any(c.isalpha() and not c.isascii() for c in value):
             return True
-        parts = [np.frombuffer(x.encode(), np.uint8).astype(int) - 96 for x in _JOINED.split(value.lower()) if x]
+        parts = [np.frombuffer(x.encode(), np.uint8).astype(int) - 96 for x in _JOINED.split(value.lower()) if x and x not in self.rank]
         told = sum(float(self.pair[np.r_[0, a[:-1]], a].sum()) for a in parts)
         return told <= math.log10(26) * sum(map(len, parts))
 

@@ -144,7 +144,7 @@ def test_planted_values_and_prose():
             assert found >= (0.97 if bare else 1) * len(made), (letters, context)
     words = [w for w in S.lexicon().rank if len(w) >= 4]
     for join in ("{}", "{}-{}", "{}/{}"):
-        assert not any(S.scan(f"the secret {join.format(r.choice(words), r.choice(words))} goes on") for _ in range(400)), join
+        assert not any(S.scan(f"the secret {join.format(r.choice(words), r.choice(words))} goes on") for _ in range(2000)), join
 
 
 def test_very_long_values_stop_early_and_short_ones_are_whole():
