@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|authorization)["']?[\x20\t]*(?:is|are|was|=>|:=|->|==?|:|\x20)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|([^\s"'`<>]+))""", re.I | re.A)
+_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|authorization)["']?[\x20\t]*(?:(?:is|are|was)(?![^\s"'`])|=>|:=|->|==?|:|\x20)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|([^\s"'`<>]+))""", re.I | re.A)
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/@]+)@")
 #: Every match of _CONTEXT holds one of these.
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
