@@ -14,9 +14,14 @@ for text in a container of the article, not for its own paragraphs. An article (
 class or id) counts where it holds half of the page's slots or more. A page alone on its host has no vectors to
 compare; its own tags then are its template.
 
-Pages travel compressed. Hosts that hold a thousandth of all pages or more (at most a thousand such) are spread by
-page id; groups of other hosts are streamed, GROUP pages at a time, and the last of a host's pages are dealt to two
-groups of like size, so that none is left to a page or two.
+A class or role names what an element is for, and so does the id of a container; the id of a heading, a paragraph or
+a piece of text is a link target and says nothing. An element that is left out inside a line takes only its own text
+with it, and the line goes on. Formulas are text.
+
+Pages travel compressed. Hosts of more than CELL pages are spread by page id into cells of about that size (hosts of
+more than CELL pages and a HEAVY_SHARE-th of all; so at most HEAVY_SHARE host names reach the driver, and no key holds
+more than such a share). Groups are streamed, GROUP pages at a time, and the last of a cell's pages are dealt to
+two groups of like size, so that none is left to a page or two.
 
 Defined results: null or empty html gives an empty text; a url without a host is a host of its own kind; repeated
 rows give a row each; markup that breaks off is closed at its end. Extra columns are not read.
@@ -39,8 +44,8 @@ from .common import bounded_batches
 GROUP = 32
 #: Characters from which on a text is long, and the versions that hold a template's long text, or text in an article, at least.
 LONG, SURE = 120, 4
-#: A host with this share of the pages is spread over tasks.
-HEAVY_SHARE = 1000
+#: Pages of a cell that a host is spread into, and the share of all pages that a host not spread may hold.
+CELL, HEAVY_SHARE = 64, 100_000
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -53,7 +58,7 @@ _BLOCK = frozenset(
 )
 _DROPPED = frozenset(
     """nav footer aside form script style noscript template iframe noembed noframes textarea button select option input label
-    fieldset head title svg math canvas object audio video dialog menu search""".split()
+    fieldset head title svg annotation annotation-xml canvas object audio video dialog menu search""".split()
 )
 #: Parts of class names, ids and roles that mark what is no article text.
 _WORDS = frozenset(
@@ -67,6 +72,8 @@ _WORDS = frozenset(
 _HEADS = frozenset(("header", "masthead", "banner"))
 _CLOSES_P = _BLOCK - {"body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption", "li", "dd", "dt"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements whose id is a link target, not a name.
+_TARGETS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd a span b i em strong tr td th caption figcaption summary sup sub cite code pre".split())
 _BOXES = frozenset("div section ul ol dl table figure details blockquote center address".split())
 _SCOPE = frozenset("article main section div nav aside footer header form table td th body blockquote ul ol dl".split())
 
@@ -80,7 +87,7 @@ class Element:
         words, hidden, role = set(), False, False
         for name, value in _ATTR.findall(attrs) if attrs else ():
             name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id", "role"):
+            if name in ("class", "role") or name == "id" and tag not in _TARGETS:
                 words |= set(re.split(r"[^a-z0-9]+", value))
                 words |= set(value.split())
                 role |= name == "role" and value == "main"
@@ -113,6 +120,7 @@ class Page:
         stack: list[Element] = []
         seen: dict[tuple, Element] = {}
         text: list[str] = []
+        lines: list[tuple[int, list[str]]] = []  # where an element that is left out stands inside a line: its depth, the line so far
 
         def flush() -> None:
             if text:
@@ -128,9 +136,13 @@ class Page:
                         self.texts[token] = (main, bool(e and e.boxed), len(joined))
 
         def pop(n: int) -> None:
-            if any(e.tag in _BLOCK or e.drop for e in stack[n:]):
-                flush()
-            del stack[n:]
+            while len(stack) > n:
+                e = stack[-1]
+                if e.tag in _BLOCK or e.drop:
+                    flush()
+                stack.pop()
+                if lines and lines[-1][0] == len(stack):
+                    text[:] = lines.pop()[1]
 
         at, end = 0, len(source)
         while at < end:
@@ -183,9 +195,11 @@ class Page:
             if m[3].endswith("/") and tag not in _BLOCK:
                 continue
             if e.drop and text and not (parent and parent.drop):
-                flush()
+                lines.append((len(stack), text[:]))
+                text.clear()
             stack.append(e)
             self.tokens.append(e.path)
+        pop(0)
         flush()
 
 
@@ -334,9 +348,8 @@ def main_text(pages: DataFrame, *, id: str = "page_id", url: str = "url", html:
     rows = pages.select(host.alias("host"), F.col(id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(GROUP, -(-total // HEAVY_SHARE))
-    heavy = {r.host: r.n // least for r in counts.where(F.col("n") > least).collect()}  # at most HEAVY_SHARE rows
-    spread = F.create_map(*(F.lit(x) for kv in heavy.items() for x in kv))[F.col("host")] if heavy else F.lit(None).cast("int")
-    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), spread), F.lit(0)).cast("bigint")
-    packed = rows.select("host", salt.alias("salt"), "page_id", "url", "html").mapInArrow(_press, "host string, salt bigint, page_id bigint, url string, packed binary")
+    heavy = counts.where(F.col("n") > max(CELL, -(-total // HEAVY_SHARE))).select("host", F.floor(F.col("n") / CELL).cast("bigint").alias("cells")).collect()  # at most HEAVY_SHARE rows
+    spread = F.broadcast(spark.createDataFrame([tuple(r) for r in heavy], "host string, cells bigint"))
+    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("cells")), F.lit(0)).cast("bigint")
+    packed = rows.join(spread, "host", "left").select("host", salt.alias("salt"), "page_id", "url", "html").mapInArrow(_press, "host string, salt bigint, page_id bigint, url string, packed binary")
     return packed.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(_groups, "page_id bigint, url string, text string, n_chars bigint")

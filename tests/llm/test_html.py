@@ -111,3 +111,31 @@ def test_no_group_of_a_large_host_is_small():
         batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["host", "salt", "page_id", "url", "html"])
         got = [r for b in H._groups(H._press([batch])) for r in b.to_pylist()]
         assert [(r["page_id"], r["text"]) for r in got] == [(i, f"Story {i} begins here and goes on for {i} days.") for i in range(n)]
+
+
+def test_an_id_of_a_heading_or_text_is_no_name():
+    assert H.extract(['<article><h2 id="related-work">Related work</h2><p id="footer">x</p><p><span id="ad">y</span></p></article>']) == ["Related work\nx\ny"]
+    assert H.extract(['<article><h2>Head</h2><div id="related-work"><p>Other</p></div><p class="promo">Buy</p><p>x</p></article>']) == ["Head\nx"]
+
+
+def test_a_line_goes_on_around_what_is_left_out():
+    for source, want in [
+        ('<article><p>Hello <span class="ad">buy</span> world</p></article>', "Hello world"), ('<article><p>Hello <span class="ad">buy <b>now</b></span>, world <button>Go</button> on</p><p>z</p></article>', "Hello , world on\nz"),
+        ('<article><p>a <span class="ad">never closed</p><p>b</p></article>', "a\nb"), ('<article><p>a <span class="ad">one <span class="promo">two</span> three</span> b</p></article>', "a b"),
+        ('<article>a <div class="ad"><p>block</p></div> b</article>', "a\nb"), ('<article><p>a <span class="ad">cut', "a"), ('<article><p>a <span hidden><p>odd</p></span> b</p></article>', "a\nodd\nb"),
+    ]:  # fmt: skip  (a paragraph ends the one it begins in, and the span with it)
+        assert H.extract([source]) == [want], source
+
+
+def test_formulas_are_text():
+    assert H.extract(["<article><p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>"]) == ["if x=1 holds"]
+    assert H.extract(['<article><p>if <math><semantics><mi>x</mi><annotation encoding="t">\\x</annotation></semantics></math> holds</p></article>']) == ["if x holds"]
+
+
+def test_an_empty_template_changes_pages_with_articles(monkeypatch):
+    body = lambda k: f'<article><h1>Story {k}</h1><p>It was told on day {k} by {k * 7} people.</p><div class="x7"><p>Try our app</p></div></article>'
+    pages = [PAGE.format(n=k, body=body(k)) for k in range(40)]
+    want = [f"Story {k}\nIt was told on day {k} by {k * 7} people." for k in range(40)]
+    assert H.extract(pages) == want
+    monkeypatch.setattr(H, "deduce", lambda pages: set())
+    assert H.extract(pages) == [x + "\nTry our app" for x in want]
