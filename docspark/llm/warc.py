@@ -1,10 +1,11 @@
 r"""WARC archives with a dictionary: written by Spark's own file writer, read back by its binary reader.
 
-A task writes one archive. It builds a Zstandard dictionary from the first records it archives, puts it into a
-leading skippable frame (magic 0x184D2A5D, as the WARC-Zstandard convention has it) and compresses each record as a
-frame of its own, so that a record can be read alone. Between frames stands an empty skippable frame: Spark's text
-writer emits it as the line separator, which lets a distributed commit protocol write binary archives to any file
-system Spark can reach, with no local file on any executor.
+A task writes archives of about archive_bytes each, a file for each. For every one it builds a Zstandard dictionary
+from the next records, puts it into a leading skippable frame (magic 0x184D2A5D, as the WARC-Zstandard convention has
+it) and compresses each record as a frame of its own, so that a record can be read alone. An archive passes the target
+by its last record only, so a reader's row, and what a task holds at once, is bounded by the target and one record. An
+empty skippable frame ends an archive: Spark's text writer emits it as the line separator, which lets a distributed
+commit protocol write binary archives to any file system Spark can reach, with no local file on any executor.
 
 Of records with equal payloads of at least min_revisit bytes the one with the largest id is the response and the
 others are revisits, which carry the headers only. The largest id of a digest is found by an aggregation of 20-byte
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import struct
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +35,8 @@ SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 #: Bytes of a dictionary, and of the records it is built from.
 DICT_BYTES, SAMPLE_BYTES = 32 << 10, 2 << 20
 MIN_REVISIT = 1000
+#: Compressed bytes from which on an archive is full.
+ARCHIVE_BYTES = 32 << 20
 _ID = "urn:x-page:"
 
 
@@ -74,22 +78,32 @@ def build_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> zstandard.
         return zstandard.ZstdCompressionDict(b"".join(samples)[-size:] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
+def archives(records: Iterable[bytes], most: int = ARCHIVE_BYTES, level: int = 3) -> Iterator[list[bytes]]:
+    """The frames of each archive: the dictionary, then one for each record, until `most` bytes are reached. No records, no archives."""
+    records, waiting, size = iter(records), deque(), 0
+    while True:
+        while size < SAMPLE_BYTES and (r := next(records, None)) is not None:
+            waiting.append(r)
+            size += len(r)
+        if not waiting:
+            return
+        made = build_dictionary(list(waiting))
+        raw = made.as_bytes()
+        press = zstandard.ZstdCompressor(level=level, dict_data=made, write_checksum=True, write_content_size=True)
+        frames = [struct.pack("<II", DICT_MAGIC, len(raw)) + raw]
+        total = len(frames[0])
+        while (r := waiting.popleft() if waiting else next(records, None)) is not None:
+            size = max(0, size - len(r))
+            frames.append(press.compress(r))
+            total += len(frames[-1])
+            if total >= most:
+                break
+        yield frames
+
+
 def archive(records: Iterable[bytes], level: int = 3) -> Iterator[bytes]:
-    """The frames of one archive: the dictionary, then one for each record. No records, no frames."""
-    records, samples, size = iter(records), [], 0
-    for r in records:
-        samples.append(r)
-        size += len(r)
-        if size >= SAMPLE_BYTES:
-            break
-    if not samples:
-        return
-    made = build_dictionary(samples)
-    raw = made.as_bytes()
-    yield struct.pack("<II", DICT_MAGIC, len(raw)) + raw
-    press = zstandard.ZstdCompressor(level=level, dict_data=made, write_checksum=True, write_content_size=True)
-    for r in itertools.chain(samples, records):
-        yield press.compress(r)
+    """The frames of one archive of any size."""
+    return itertools.chain.from_iterable(archives(records, 1 << 62, level))
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, int]]:
@@ -137,8 +151,8 @@ def decide(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str
     return rows.join(heads, rows.digest == heads._digest, "left").drop("_digest")
 
 
-def write(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
-    """Write archives, one for each task, below path (on any file system that Spark reaches)."""
+def write(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, date: str = "2024-01-01T00:00:00Z", level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write archives of about archive_bytes below path (on any file system that Spark reaches)."""
     bounded_batches(pages.sparkSession)
 
     def of(batches):
@@ -148,18 +162,11 @@ def write(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url",
                 for i, u, p, d, m in zip(*cols, strict=True):
                     yield record(i, u, p, d.hex(), None if m is None or m == i else (m,), date)
 
-        chunk, size = [], 0
-        for frame in archive(made(), level):
-            chunk.append(frame)
-            size += len(frame)
-            if size >= 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.binary())], names=["frame"])
-                chunk, size = [], 0
-        if chunk:
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.binary())], names=["frame"])
-
-    rows = decide(pages, id=id, url=url, html=html, min_revisit=min_revisit).mapInArrow(of, "frame binary")
-    rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+        for frames in archives(made(), archive_bytes, level):
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], names=["archive"])
+
+    rows = decide(pages, id=id, url=url, html=html, min_revisit=min_revisit).mapInArrow(of, "archive binary")
+    rows.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
 READ_SCHEMA = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"

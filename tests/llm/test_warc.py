@@ -62,3 +62,20 @@ def test_payloads_come_back(spark, sf_dir, tmp_path):
     assert back == {r.page_id: (r.url, r.html) for r in pages.collect()}
     W.write(pages.limit(0), str(tmp_path / "none"))
     assert W.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_archives_by_a_byte_target(spark, sf_dir, tmp_path):
+    records = [W.record(i, f"http://h/{i}", os.urandom(600) + b"<p>body</p>" * 40, "ab", None, "2024-01-01T00:00:00Z") for i in range(300)]
+    made = list(W.archives(records, 40_000))
+    assert [r for frames in made for r in W.records(b"".join(frames))] == records and len(made) > 3
+    assert all(sum(map(len, x)) >= 40_000 for x in made[:-1]) and all(sum(map(len, x[:-1])) < 40_000 for x in made)
+    assert len(list(W.archives(records[:5], 1))) == 5  # a record each, where the dictionary alone is over the target
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").coalesce(2)
+    rows = {}
+    for most in (30_000, W.ARCHIVE_BYTES):
+        path = str(tmp_path / str(most))
+        W.write(pages, path, archive_bytes=most)
+        files = [f for f in os.listdir(path) if f.startswith("part-")]
+        rows[most] = len(files), sorted(map(tuple, W.read(spark, path).drop("payload").collect()), key=str)
+        assert all(os.path.getsize(f"{path}/{f}") < 2 * most + 100_000 for f in files)
+    assert rows[30_000][0] > rows[W.ARCHIVE_BYTES][0] and rows[30_000][1] == rows[W.ARCHIVE_BYTES][1]
