@@ -17,7 +17,7 @@ DEFAULT_BODY = 12.0
 NO_FIGURE_TEXT = "[figure]"
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     page: int

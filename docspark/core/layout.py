@@ -19,7 +19,7 @@ PARAGRAPH_GAP = 1.8
 DEFAULT_SIZE = 12.0
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     text: str
     y: float
@@ -61,11 +61,19 @@ def bucket(runs: list[tuple], column: int = 0) -> list[Line]:
     for run in runs:
         text, x0, y, x1, _, size = run
         at = math.floor(y / high) if math.isfinite(y) else None
-        near = sorted(k for s in ((at - 1, at, at + 1) if at is not None else (None,)) for k in strips.get(s, ()))
-        home = next((lines[k] for k in near if abs(lines[k].y - y) <= SAME_LINE * max(lines[k].size, size)), None)
+        home, first = None, len(lines)
+        for strip in (at - 1, at, at + 1) if at is not None else (None,):
+            for k in strips.get(strip, ()):  # in the order they began
+                if k >= first:
+                    break
+                line = lines[k]
+                tall = line.size
+                if abs(line.y - y) <= SAME_LINE * (tall if tall > size else size):
+                    home, first = line, k
+                    break
         if home is None:
             strips.setdefault(at, []).append(len(lines))
-            lines.append(Line(text, y, x0, x1, size, cells=[[text, x0, x1]], column=column))
+            lines.append(Line(text, y, x0, x1, size, [], [[text, x0, x1]], column))
         else:
             home.add(run)
     return sorted(lines, key=lambda ln: (-ln.y if ln.y == ln.y else math.inf, ln.x0 if ln.x0 == ln.x0 else math.inf))

@@ -19,18 +19,23 @@ THIN = 1e-3
 
 
 def cell(text: str, bbox: list[float], col: int, colspan: int = 1, rowspan: int = 1) -> dict:
-    return {"text": text, "bbox": [float(v) for v in bbox], "col": col, "colspan": colspan, "rowspan": rowspan}
+    return {"text": text, "bbox": bbox, "col": col, "colspan": colspan, "rowspan": rowspan}
 
 
 def _clusters(points: list[tuple[float, int]], tol: float) -> list[tuple[float, int]]:
     """(first x, distinct rows) of runs of sorted points that lie within tol of their first."""
-    out: list[tuple[float, set[int]]] = []
+    out: list[tuple[float, int]] = []
+    first, rows = 0.0, set()
     for x, row in sorted(points):
-        if out and x - out[-1][0] <= tol:
-            out[-1][1].add(row)
+        if rows and x - first <= tol:
+            rows.add(row)
         else:
-            out.append((x, {row}))
-    return [(x, len(rows)) for x, rows in out]
+            if rows:
+                out.append((first, len(rows)))
+            first, rows = x, {row}
+    if rows:
+        out.append((first, len(rows)))
+    return out
 
 
 def has_aligned_column(gap_rows: list[list[float]]) -> bool:
@@ -45,9 +50,13 @@ def column_lefts(rows: list[dict]) -> list[float]:
 
 def place_cell(x0: float, x1: float, slots: list[tuple[float, float]]) -> tuple[int, int]:
     """(column, columns covered): slots covered by half or more, else the one that holds the center."""
-    covered = [i for i, (lo, hi) in enumerate(slots) if hi - lo > THIN and max(0.0, min(x1, hi) - max(x0, lo)) >= (hi - lo) / 2]
-    if covered:
-        return covered[0], len(covered)
+    first, n = -1, 0
+    for i, (lo, hi) in enumerate(slots):
+        wide = hi - lo
+        if wide > THIN and 2 * max(0.0, (x1 if x1 < hi else hi) - (x0 if x0 > lo else lo)) >= wide:
+            first, n = (i if n == 0 else first), n + 1
+    if n:
+        return first, n
     center = (x0 + x1) / 2
     return next((i for i, (lo, hi) in enumerate(slots) if lo <= center < hi), len(slots) - 1), 1
 
@@ -64,21 +73,25 @@ def gap_table(rows: list[dict], bbox: list[float]) -> dict | None:
     slots = list(zip(bounds, bounds[1:], strict=False))
     if not slots:
         return None
-    grid = []
+    grid, places = [], {}
     for row in rows:
-        y0, y1 = row["y"], row["y"] + max(row["size"], THIN)
-        made = [cell("", [lo, y0, max(hi, lo + THIN), y1], i) for i, (lo, hi) in enumerate(slots)]
+        y0 = row["y"]
+        y1 = y0 + max(row["size"], THIN)
+        made: list[dict | None] = [None] * len(slots)
         for text, x0, x1 in row["cells"]:
-            col, span = place_cell(x0, x1, slots)
+            at = places.get((x0, x1))
+            if at is None:
+                at = places[x0, x1] = place_cell(x0, x1, slots)
+            col, span = at
             here = made[col]
-            if here["text"]:
+            if here and here["text"]:
                 here["text"] += " " + text
                 here["bbox"][2] = max(here["bbox"][2], x1)
                 here["colspan"] = max(here["colspan"], span)
             else:
                 left = min(x0, x1)
-                made[col] = cell(text, [left, y0, max(x1, left + THIN), y1], col, span)
-        grid.append(made)
+                made[col] = {"text": text, "bbox": [left, y0, max(x1, left + THIN), y1], "col": col, "colspan": span, "rowspan": 1}
+        grid.append([c or cell("", [lo, y0, max(hi, lo + THIN), y1], i) for i, (c, (lo, hi)) in enumerate(zip(made, slots, strict=True))])
     return {"columns": len(slots), "header_rows": 1, "rows": grid}
 
 

@@ -55,25 +55,28 @@ def blocks(runs: DataFrame) -> DataFrame:
 
 def blocks_with(runs: DataFrame, draws: DataFrame, rules: DataFrame) -> DataFrame:
     """Blocks of pages that have images or rules besides text: the three tables meet by document, in one narrow layout."""
-    numbers = lambda *cols: F.array(*(F.col(c).cast("double") for c in cols))
-    side = lambda df, part, ix, text, values: df.select("doc_id", F.lit(part).alias("part"), "page", F.col(ix).cast("bigint").alias("ix"), text.alias("text"), values.alias("v"))
-    none = F.lit(None).cast("string")
-    rows = side(runs, 0, "run_ix", F.col("text"), numbers(*RUN_COLUMNS[1:]))
-    rows = rows.unionByName(side(draws, 1, "draw_ix", none, numbers(*"abcdef"))).unionByName(side(rules, 2, "line_ix", none, F.array(F.col("vertical").cast("double"), *(F.col(c).cast("double") for c in ("pos", "lo", "hi")))))
+    wide = [f"v{i}" for i in range(6)]
+
+    def side(df: DataFrame, part: int, ix: str, text: str | None, values: list[str]) -> DataFrame:
+        own = [F.col(c).cast("double") for c in values] + [F.lit(None).cast("double")] * (len(wide) - len(values))
+        return df.select("doc_id", F.lit(part).alias("part"), "page", F.col(ix).cast("bigint").alias("ix"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"), *(c.alias(w) for c, w in zip(own, wide, strict=True)))
+
+    rows = side(runs, 0, "run_ix", "text", list(RUN_COLUMNS[1:])).unionByName(side(draws, 1, "draw_ix", None, list("abcdef"))).unionByName(side(rules, 2, "line_ix", None, ["vertical", "pos", "lo", "hi"]))
 
     def of(key: tuple, cols: list[list]):
         pages: dict[int, dict] = {}
-        for part, p, text, v in zip(*cols, strict=True):
-            page = pages.setdefault(p, {"runs": [], "images": [], "rules": []})
+        for part, p, text, *v in zip(*cols, strict=True):
+            if p not in pages:
+                pages[p] = {"runs": [], "images": [], "rules": []}
             if part == 0:
-                page["runs"].append((text, *v))
+                pages[p]["runs"].append((text, *v[:5]))
             elif part == 1:
-                page["images"].append(tuple(v))
+                pages[p]["images"].append(tuple(v))
             else:
-                page["rules"].append((v[0] == 1.0, *v[1:]))
+                pages[p]["rules"].append((v[0] == 1.0, *v[1:4]))
         return _block_rows(key, core.geometry_blocks(pages))
 
-    return of_groups(rows, ["doc_id"], ["part", "page", "ix"], ["part", "page", "text", "v"], of, schema.of(schema.BLOCKS, id_type(runs)))
+    return of_groups(rows, ["doc_id"], ["part", "page", "ix"], ["part", "page", "text", *wide], of, schema.of(schema.BLOCKS, id_type(runs)))
 
 
 def group_blocks(lines: DataFrame, body: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def word_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Dat
 GRID_COLUMNS, GRID_ROWS, GRID_STEP = 3, 4, 2000.0
 
 
+def grid_pages(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, page, n): the rows on each page of grid_runs, counted without laying out a word."""
+    words = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
+    rows = F.ceil(words / GRID_COLUMNS)
+    sized = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("doc_id"), rows.alias("rows")).where("rows > 0")
+    paged = sized.select("doc_id", "rows", F.explode(F.sequence(F.lit(1), F.ceil(F.col("rows") / GRID_ROWS).cast("int"))).alias("page"))
+    return paged.select("doc_id", "page", F.least(F.lit(GRID_ROWS), F.col("rows") - GRID_ROWS * (F.col("page") - 1)).cast("bigint").alias("n"))
+
+
 def grid_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """All words of a text as table cells of one width: three in a row, the last row filled with dashes, four rows on a page."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")

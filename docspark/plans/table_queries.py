@@ -59,7 +59,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules drawn around every grid, but for the one between the first two cells of the first row: that cell spans two columns."""
     runs = cell_runs(spark, sf_dir)
-    g = runs.groupBy("doc_id", "page").agg(F.count_distinct("y0").alias("n")).where("n >= 2")
+    g = R.grid_pages(table(spark, sf_dir, "documents")).where("n >= 2")
     top = R.TOP + 14.0
     bottom = top - R.STEP * F.col("n")
     rule = lambda vertical, pos, lo, hi: F.struct(F.lit(vertical).alias("vertical"), pos.cast("double").alias("pos"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
