@@ -61,7 +61,7 @@ def merge(contents: Column) -> Column:
 
 
 def merge_groups(docs: DataFrame, *, by: str, order: str, content: str = "content") -> DataFrame:
-    """(by, merged): the documents of each group as one, in order."""
+    """(by, merged): the documents of each group as one, in order. A group is one document in the end, so it has to fit into a row."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c")))), lambda x: x.c)
     return docs.groupBy(by).agg(parts.alias("parts")).select(by, merge(F.col("parts")).alias("merged"))
 

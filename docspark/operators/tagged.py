@@ -26,14 +26,17 @@ CELL_COLUMNS = ["node_ix", "parent_ix", "last_ix", "tag", "full_text", "box", "c
 def resolve_roles(roles: DataFrame) -> DataFrame:
     """(doc_id, raw, tag): the end of each RoleMap chain (doc_id, raw, target), 16 hops at most, safe for cycles.
 
-    A self-join per hop, as a chain is followed for all documents at once."""
-    now = roles.select("doc_id", "raw", F.col("target").alias("tag"), F.array("raw").alias("seen"))
-    step = roles.select("doc_id", F.col("raw").alias("tag"), F.col("target").alias("next"))
-    for _ in range(MAX_ROLE_HOPS - 1):
-        more = now.join(step, ["doc_id", "tag"], "left")
-        go = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("tag"))
-        now = more.select("doc_id", "raw", F.when(go, F.col("next")).otherwise(F.col("tag")).alias("tag"), F.when(go, F.array_append("seen", F.col("tag"))).otherwise(F.col("seen")).alias("seen"))
-    return now.select("doc_id", "raw", "tag")
+    A document's map is gathered once and each chain is a fold over it; of targets of one name the least counts."""
+    own = roles.groupBy("doc_id", "raw").agg(F.min("target").alias("target")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "target"))).alias("m"))
+
+    def hop(now: Column, _: Column) -> Column:
+        following = F.try_element_at(F.col("m"), now.tag)
+        go = following.isNotNull() & ~F.array_contains(now.seen, now.tag)
+        return F.struct(F.when(go, following).otherwise(now.tag).alias("tag"), F.when(go, F.array_append(now.seen, now.tag)).otherwise(now.seen).alias("seen"))
+
+    chains = own.select("doc_id", "m", F.explode("m").alias("raw", "target"))
+    end = F.aggregate(F.sequence(F.lit(2), F.lit(MAX_ROLE_HOPS)), F.struct(F.col("target").alias("tag"), F.array("raw").alias("seen")), hop, lambda x: x.tag)
+    return chains.select("doc_id", "raw", end.alias("tag"))
 
 
 def mcid_content(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_queries, function_queries, pdf_queries, policy_queries, table_queries  # noqa: F401  each registers its own
+from . import chunk_queries, function_queries, pdf_queries, policy_queries, reader_queries, table_queries  # noqa: F401  each registers its own
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "chunk_documents"

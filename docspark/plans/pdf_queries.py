@@ -50,10 +50,10 @@ def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_tables(from_binary(documents(spark, sf_dir), want=()))["doc_meta"].select("doc_id", "title", "page_count", "encrypted")
 
 
-@query(f"with {OPS}, n as (select doc_id, max(page) as n from ops group by doc_id) select doc_id % 50 as group_id, sum(n)::int as pages from n group by all having count(*) > 1")
+@query(f"with {OPS}, n as (select doc_id, max(page) as n from ops group by doc_id) select doc_id // 4 as group_id, sum(n)::int as pages from n group by all having count(*) > 1")
 def pdf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents merged in groups: their pages add up."""
-    docs = documents(spark, sf_dir).withColumn("group_id", F.col("doc_id") % 50)
+    """Documents merged by fours: their pages add up."""
+    docs = documents(spark, sf_dir).withColumn("group_id", F.floor(F.col("doc_id") / 4))
     merged = E.merge_groups(docs, by="group_id", order="doc_id")
     return merged.where("merged.value is not null").select("group_id", E.page_count(F.col("merged.value")).value.alias("pages"))
 
@@ -73,9 +73,8 @@ def pdf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     degrees = F.when(F.col("doc_id") % 5 == 4, 45).otherwise((F.col("doc_id") % 7 - 3) * 90).cast("int")
     turned = documents(spark, sf_dir).select("doc_id", E.rotate_page(F.col("content"), F.lit(1), degrees).alias("r"))
-    parsed = from_binary(turned.select("doc_id", F.col("r.value").alias("content")), want=())
-    found = parsed.select("doc_id", F.get(F.col("pages"), F.lit(0)).rotation.alias("rotation"))
-    return turned.select("doc_id", F.col("r.error").alias("error")).join(found, "doc_id")
+    parsed = from_binary(turned.select(F.struct("doc_id", F.col("r.error").alias("error")).alias("own"), F.col("r.value").alias("content")), id="own", want=())
+    return parsed.select("doc_id.doc_id", "doc_id.error", F.get(F.col("pages"), F.lit(0)).rotation.alias("rotation"))
 
 
 @query(f"with {OPS}, n as (select doc_id, page, count(*) as n from ops group by all), p as (select doc_id, max(page) as last from ops group by doc_id), every_page as (select doc_id, unnest(range(1, last + 1)) as page from p) select doc_id, page::int as page, (coalesce(n, 0) + 1)::bigint as runs, 'SAMPLE' as last_text from every_page left join n using (doc_id, page)")
@@ -85,12 +84,6 @@ def pdf_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "page").agg(F.count("*").alias("runs"), F.max_by("text", "run_ix").alias("last_text"))
 
 
-@query(f"with {OPS}, n as (select doc_id, max(page) as n from ops group by doc_id) select doc_id, n::int as page_count, 612.0::double as w_pt, 792.0::double as h_pt from n where n >= 1")
-def pdf_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = parsed_tables(from_binary(documents(spark, sf_dir), want=()))["pages"]
-    return pages.groupBy("doc_id").agg(F.max("page").alias("page_count"), F.max("w_pt").alias("w_pt"), F.max("h_pt").alias("h_pt"))
-
-
 @query(f"with {OPS} select distinct doc_id, 102::int as width, 132::int as height, '89504e470d0a1a0a' as signature from ops")
 def png_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = documents(spark, sf_dir).select("doc_id", RD.render(F.col("content"), F.lit(1), width=102).alias("i"))
@@ -104,5 +97,5 @@ def pdf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     broken = F.when(F.col("doc_id") % 3 == 0, F.substring("content", 1, 12)).when(F.col("doc_id") % 3 == 1, F.substring("content", 10, 100)).otherwise(F.col("content"))
     docs = documents(spark, sf_dir).select("doc_id", broken.alias("content"))
-    parsed = from_binary(docs, want=()).select("doc_id", F.col("error.code").alias("read"))
-    return validate(docs).select("doc_id", F.col("error.code").alias("early")).join(parsed, "doc_id").select("doc_id", F.coalesce("early", "read").alias("code"))
+    early = validate(docs).select(F.struct("doc_id", F.col("error.code").alias("early")).alias("own"), "content")
+    return from_binary(early, id="own", want=()).select("doc_id.doc_id", F.coalesce("doc_id.early", "error.code").alias("code"))

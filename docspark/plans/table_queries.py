@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schema
 from ..functions import text as T
@@ -93,19 +93,22 @@ def tagged_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size(t.rows).alias("rows"), t["columns"].alias("columns"), t.header_rows.alias("header_rows"), last.colspan.alias("last_colspan"))
 
 
-@query(f"""with {RUNS}, kept as (select doc_id, line_no, row_number() over (partition by doc_id order by line_no) - 1 as k, count(*) over (partition by doc_id) as n from runs)
-select doc_id, case when count(*) >= 5 then string_agg('L' || k, ' ' order by k) || ' ' || string_agg('R' || k, ' ' order by k) else string_agg('L' || k || ' R' || k, ' ' order by k) end as reading_order, case when count(*) >= 5 then 2 else 1 end::bigint as columns from kept group by doc_id""")
-def column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two columns of five lines or more come out one after the other, though their runs alternate; shorter ones line by line."""
-    from pyspark.sql import Window
-
+def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs for each line of a text, side by side: L and its number, R and its number."""
     lines = R.text_lines(table(spark, sf_dir, "documents"))
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
     rows = lines.select("doc_id", k.alias("k"))
     rows = rows.select("doc_id", "k", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     y = 740.0 - 18.0 * F.col("k")
     x0 = F.when(F.col("side") == 0, 72.0).otherwise(300.0)
-    runs = rows.select("doc_id", F.lit(1).alias("page"), (F.col("k") * 2 + F.col("side")).cast("bigint").alias("run_ix"), F.concat(F.when(F.col("side") == 0, "L").otherwise("R"), F.col("k").cast("string")).alias("text"), x0.alias("x0"), y.alias("y0"), (x0 + 190.0).alias("x1"), (y + 12.0).alias("y1"), F.lit(12.0).alias("font_size"))
+    return rows.select("doc_id", F.lit(1).alias("page"), (F.col("k") * 2 + F.col("side")).cast("bigint").alias("run_ix"), F.concat(F.when(F.col("side") == 0, "L").otherwise("R"), F.col("k").cast("string")).alias("text"), x0.alias("x0"), y.alias("y0"), (x0 + 190.0).alias("x1"), (y + 12.0).alias("y1"), F.lit(12.0).alias("font_size"))
+
+
+@query(f"""with {RUNS}, kept as (select doc_id, line_no, row_number() over (partition by doc_id order by line_no) - 1 as k, count(*) over (partition by doc_id) as n from runs)
+select doc_id, case when count(*) >= 5 then string_agg('L' || k, ' ' order by k) || ' ' || string_agg('R' || k, ' ' order by k) else string_agg('L' || k || ' R' || k, ' ' order by k) end as reading_order, case when count(*) >= 5 then 2 else 1 end::bigint as columns from kept group by doc_id""")
+def column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of five lines or more come out one after the other, though their runs alternate; shorter ones line by line."""
+    runs = two_columns(spark, sf_dir)
     made = L.lines(runs)
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "text"))), lambda x: x.text), " ")
     return made.groupBy("doc_id").agg(order.alias("reading_order"), F.count_distinct("column").alias("columns"))
@@ -137,21 +140,14 @@ def title_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.title_chunks(rows, client).select("conv_id", "turn", F.array_join("heading_path", ">").alias("path"))
 
 
-@query("""with recursive f as (select s_suppkey, s_nationkey, 'field' || (s_suppkey % 10) as name from supplier), v as (select n_nationkey, 'field' || n_regionkey as name, n_name from nation)
-select s_suppkey, f.name, v.n_name as value from f left join v on v.n_nationkey = f.s_nationkey and v.name = f.name""")
-def form_fill_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values for form fields by name: an equi-join, fields without a value stay."""
-    fields = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("key"), F.concat(F.lit("field"), (F.col("s_suppkey") % 10).cast("string")).alias("name"))
-    values = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("field"), F.col("n_regionkey").cast("string")).alias("name"), F.col("n_name").alias("value"))
-    return fields.join(values, ["key", "name"], "left").select("s_suppkey", "name", "value")
-
-
-@query(f"""with {RUNS}, bands as (select doc_id, page, min(72.0) as lo, max(72.0 + length(text) * 0.5 * size) as hi, 0 as col from runs group by all)
-select doc_id, page::int as page, 0::int as "column" from bands""")
+@query(f"""with {RUNS}, n as (select doc_id, count(*) as n from runs group by doc_id)
+select doc_id, f::int as fig_ix, case when n >= 5 then f % 2 + 1 else 0 end::int as "column" from n, range(4) as t(f)""")
 def figure_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = R.synthetic_runs(table(spark, sf_dir, "documents"))
-    boxes = runs.select("doc_id", "page").distinct().withColumns({"fig_ix": F.lit(0), "x0": F.lit(400.0), "x1": F.lit(500.0)})
-    return FG.figure_columns(boxes, L.lines(runs)).select("doc_id", "page", "column")
+    """Figures over the left and the right of two columns, beyond the right one, and beyond the left one; pages of few lines have one column."""
+    lines = L.lines(two_columns(spark, sf_dir))
+    box = lambda i, x: F.struct(F.lit(i).alias("fig_ix"), F.lit(x).alias("x0"), F.lit(x + 60.0).alias("x1"))
+    boxes = lines.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(box(0, 90.0), box(1, 380.0), box(2, 2.0), box(3, 540.0))))
+    return FG.figure_columns(boxes, lines).select("doc_id", "fig_ix", "column")
 
 
 @query("select doc_id, length(regexp_replace(text, '\\s', '', 'g')) >= 200 as enough from documents")

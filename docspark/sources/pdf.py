@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import is_pdf
 from ..pdf.document import PARTS, parse
@@ -29,6 +30,10 @@ NESTED = {
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
+#: Bytes of documents and of what is read from them, as estimated, that a result batch gathers.
+OUT_BYTES = 4 << 20
+
+
 def _arrow(fields: str) -> pa.StructType:
     return pa.struct([(n, _TYPES[t]) for n, t in (f.split(":") for f in fields.split(","))])
 
@@ -42,23 +47,30 @@ def from_binary(docs: DataFrame, *, id: str = "doc_id", content: str = "content"
 
     passwords names a column with each document's own password; password is one for all."""
     kind = docs.schema[id].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    id_type = to_arrow_type(docs.schema[id].dataType)
     schema = f"doc_id {kind}, error {ERROR}, meta {META}, tagged boolean, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in NESTED.items())
     arrow = [id_type, _ERROR_ARROW, _META_ARROW, pa.bool_(), *(pa.list_(_arrow(v)) for v in NESTED.values())]
     names = ["doc_id", "error", "meta", "tagged", *NESTED]
 
     def of(batches):
+        rows: list[list] = []
+        size = 0
         for b in batches:
             for doc, data, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                error, got = None, {}
+                error, got, content = None, {}, data.as_py() or b""
                 try:
-                    got = parse(data.as_py() or b"", own if own is not None else password, pages=pages, max_pages=max_pages, want=want)
+                    got = parse(content, own if own is not None else password, pages=pages, max_pages=max_pages, want=want)
                 except PdfError as e:
                     error = {"code": e.code, "message": e.message}
                 except Exception as e:  # one broken document is a row, not a failed job
                     error = {"code": "internal", "message": f"{type(e).__name__}: {e}"[:300]}
-                row = [doc, error, got.get("meta"), got.get("tagged"), *(got.get(k) for k in NESTED)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, arrow, strict=True)], names=names)
+                rows.append([doc, error, got.get("meta"), got.get("tagged"), *(got.get(k) for k in NESTED)])
+                size += len(content) + 200 * sum(len(got.get(k) or ()) for k in NESTED)
+                if size >= OUT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
 
     own = F.col(passwords) if passwords else F.lit(None).cast("string")
     return docs.select(F.col(id).alias("doc_id"), F.col(content).alias("content"), own.alias("password")).mapInArrow(of, schema)
@@ -92,7 +104,7 @@ def parsed_tables(parsed: DataFrame) -> dict[str, DataFrame]:
 
 
 def register_data_source(spark: SparkSession) -> None:
-    """spark.read.format("docspark_pdf").load(path): runs of the documents of a folder that every worker sees."""
+    """spark.read.format("docspark_pdf").load(path): runs of the documents of a folder that every worker sees; a broken one is a row with an error."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class Reader(DataSourceReader):
@@ -109,9 +121,11 @@ def register_data_source(spark: SparkSession) -> None:
                 data = f.read()
             try:
                 for r in parse(data, want=("runs",))["runs"]:
-                    yield (partition.value, *(r[k] for k in ("page", "run_ix", "text", "x0", "y0", "x1", "y1", "font_size", "mcid")))
-            except PdfError:
-                return
+                    yield (partition.value, *(r[k] for k in ("page", "run_ix", "text", "x0", "y0", "x1", "y1", "font_size", "mcid")), None)
+            except PdfError as e:
+                yield (partition.value, *[None] * 8, e.code)
+            except Exception:  # one broken document is a row, not a failed job
+                yield (partition.value, *[None] * 8, "internal")
 
     class Source(DataSource):
         @classmethod
@@ -119,7 +133,7 @@ def register_data_source(spark: SparkSession) -> None:
             return "docspark_pdf"
 
         def schema(self) -> str:
-            return "doc_id string, " + NESTED["runs"].replace(":", " ").replace(",", ", ")
+            return "doc_id string, " + NESTED["runs"].replace(":", " ").replace(",", ", ") + ", error string"
 
         def reader(self, schema) -> DataSourceReader:
             return Reader(self.options)

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chunks as C
-from ..sources.pdf import parsed_tables
 
 
 def chunk_stream(parsed: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
     """Write the chunks of a stream of parsed documents as Parquet; each micro-batch is a folder of its own, so a batch that is run again replaces itself."""
 
     def batch(df: DataFrame, number: int) -> None:
-        runs = parsed_tables(df)["runs"]
-        C.finalize(C.chunk_runs(runs, **options)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        C.chunk_parsed(df, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return parsed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
