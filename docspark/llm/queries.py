@@ -124,9 +124,56 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op1 and its base test, which SQL can tell alike."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return judged.select("doc_id", *(f"quality_stats.{c}" for c in quality_rules.COUNTS), "base_failed")
+
+
+QUALITY_COUNTS_SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
+words as (select r, unnest(w) as w, generate_subscripts(w, 1) as i from (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs)),
+windows as (select r, i, w, lead(w) over o as w2, lead(w, 2) over o as w3 from words window o as (partition by r order by i)),
+twice as (select r, unnest(list(i)) as i from windows where w3 is not null group by r, w, w2, w3 having count(*) > 1),
+repeated as (select r, count(distinct i + d) as n from twice, range(3) as t(d) group by r),
+counted as (select r, count(*) as n, sum(length(w))::bigint as chars from words group by r),
+lines as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+told as (
+  select doc_id, coalesce(c.n, 0)::bigint as n_words, coalesce(c.chars, 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(p.n, 0)::bigint as n_repeat_words
+  from docs d left join counted c on c.r = d.r left join lines l on l.r = d.r left join repeated p on p.r = d.r)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from told
+"""
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base patterns' spans of op4, which SQL can tell alike."""
+    return op4_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+_ASSIGN_SQL = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans_sql(kind: str, order: int, pattern: str, keep: str) -> str:
+    """Places of a pattern's matches: they stand between the parts that it splits the text into."""
+    return f"""{kind} as (
+  select r, {order} as k, '{kind}' as kind, list_sum([length(x) for x in parts[:i]]) + coalesce(list_sum([length(x) for x in found[:i - 1]]), 0) as s, length(found[i]) as n
+  from (select r, string_split_regex(text, '{pattern}') as parts, regexp_extract_all(text, '{pattern}') as found from docs), unnest(range(1, len(found) + 1)) as t(i) where {keep})"""
+
+
+SECRET_BASE_SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
+{_spans_sql("assign", 0, _ASSIGN_SQL, f"length(regexp_extract(found[i], '{_ASSIGN_SQL}', 2)) >= 6")},
+{_spans_sql("access", 1, "AKIA[A-Z0-9]+", "length(found[i]) >= 20")},
+{_spans_sql("hex", 2, "[0-9a-f]+", "length(found[i]) >= 24")},
+spans as (select * from assign union all select * from access union all select * from hex),
+told as (select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || s::bigint || ':' || (s + n)::bigint, ',' order by s, k) as joined from spans group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(joined, '')) as base_sha256 from docs left join told using (r)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_language_id, op4_secret_scans, op5_chat_formatting, op6_packing, op7_warc, op8_html_extraction, op9_simhash_near_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (quality_counts, secret_base_spans, op1_quality_rules, op2_license_scans, op3_language_id, op4_secret_scans, op5_chat_formatting, op6_packing, op7_warc, op8_html_extraction, op9_simhash_near_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scans": license_scan.sql(), "op5_chat_formatting": OP5_SQL, "op7_warc": OP7_SQL, "op8_html_extraction": OP8_SQL}
+    return {"quality_counts": QUALITY_COUNTS_SQL, "secret_base_spans": SECRET_BASE_SQL, "op2_license_scans": license_scan.sql(), "op5_chat_formatting": OP5_SQL, "op7_warc": OP7_SQL, "op8_html_extraction": OP8_SQL}
