@@ -7,7 +7,8 @@ spellings; the digest of that form is joined by hash to the digests of known lic
 known digests is part of the program, so sending it to every task is bounded.
 
 Defined results: a null or empty text, and a unit whose canonical form is empty, match nothing; repeated rows match
-each on their own; a text that is one line is a document unit only. Positions are code points, end exclusive.
+each on their own; a text that is one line is a document unit only. Positions are code points, end exclusive. An
+empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations

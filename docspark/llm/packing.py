@@ -11,7 +11,7 @@ a lost task can be run again alone. Sequence ids count within a task, whose numb
 are the same in every run if the input is read from files.
 
 Defined results: a null or empty text has only the end id; repeated rows are packed each; a document longer than a
-block is cut into whole windows as any other.
+block is cut into whole windows as any other. An empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ others are revisits, which carry the headers only. The largest id of a digest is
 digests and joined back, so that a payload half of all pages share is an ordinary skewed join.
 
 Defined results: a null payload is empty and a response; a null id is smaller than any; rows that repeat both id and
-payload are all responses, as none of them is smaller; other columns are not archived.
+payload are all responses, as none of them is smaller; other columns are not archived. An empty table gives no
+archive, which reads as an empty one.
 """
 
 from __future__ import annotations
