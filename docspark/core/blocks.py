@@ -37,7 +37,10 @@ def round_half_up(x: float) -> int:
 
 def body_size(sizes: list[float]) -> float:
     """The most frequent size in whole points, the smaller of ties."""
-    seen = Counter(round_half_up(s) for s in sizes if math.isfinite(s))
+    seen: Counter[int] = Counter()
+    for size, n in Counter(sizes).items():
+        if math.isfinite(size):
+            seen[round_half_up(size)] += n
     return float(min(seen, key=lambda s: (-seen[s], s))) if seen else DEFAULT_BODY
 
 

@@ -58,9 +58,14 @@ def bucket(runs: list[tuple], column: int = 0) -> list[Line]:
     lines: list[Line] = []
     strips: dict[int | None, list[int]] = {}
     high = max((SAME_LINE * r[5] for r in runs if r[5] < math.inf), default=0.0) or 1.0
+    before, beside, home = None, 0.0, None
     for run in runs:
         text, x0, y, x1, _, size = run
+        if y == before and size == beside:  # only the line that took the last run has changed since, and it has grown
+            home.add(run)
+            continue
         at = math.floor(y / high) if math.isfinite(y) else None
+        before, beside = (y, size) if at is not None and size >= 0 else (None, 0.0)
         home, first = None, len(lines)
         for strip in (at - 1, at, at + 1) if at is not None else (None,):
             for k in strips.get(strip, ()):  # in the order they began
@@ -73,7 +78,8 @@ def bucket(runs: list[tuple], column: int = 0) -> list[Line]:
                     break
         if home is None:
             strips.setdefault(at, []).append(len(lines))
-            lines.append(Line(text, y, x0, x1, size, [], [[text, x0, x1]], column))
+            home = Line(text, y, x0, x1, size, [], [[text, x0, x1]], column)
+            lines.append(home)
         else:
             home.add(run)
     return sorted(lines, key=lambda ln: (-ln.y if ln.y == ln.y else math.inf, ln.x0 if ln.x0 == ln.x0 else math.inf))

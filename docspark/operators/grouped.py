@@ -19,14 +19,22 @@ from pyspark.sql.types import StructType
 OUT_ROWS = 4096
 
 
+def values(col: pa.Array) -> list:
+    """A column's Python values, as to_pylist gives them, without a scalar object for each where numpy has a type for all."""
+    kind = col.type
+    if pa.types.is_string(kind) or col.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return col.to_numpy(zero_copy_only=False).tolist()
+    return col.to_pylist()
+
+
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
     """(key, columns after the keys) of each group, in the order it comes."""
     key, held = None, None
     for b in batches:
         if not b.num_rows:
             continue
-        names = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
-        cols = [b.column(i).to_pylist() for i in range(keys, b.num_columns)]
+        names = list(zip(*(values(b.column(i)) for i in range(keys)), strict=True))
+        cols = [values(b.column(i)) for i in range(keys, b.num_columns)]
         start = 0
         cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
         for end in chain(cuts, [len(names)]):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import fixtures as X
 import pytest
@@ -51,6 +52,27 @@ def test_gaps_inside_a_line():
     assert L.upper_median([1, 2, 3, 4, 0.1]) == 3 and L.upper_median([]) == 12
 
 
+def first_fit(runs):
+    """Which line takes each run, looked up one by one."""
+    lines, homes = [], []
+    for _, _, y, _, _, size in runs:
+        home = next((k for k, (at, tall) in enumerate(lines) if abs(at - y) <= L.SAME_LINE * max(tall, size)), len(lines))
+        lines[home:home + 1] = [(y, size) if home == len(lines) else (lines[home][0], max(lines[home][1], size))]
+        homes.append(home)
+    return homes
+
+
+def test_lines_are_first_fit():
+    rng = random.Random(5)
+    for _ in range(300):
+        ys, sizes = [rng.choice([700, 700.0, 704, 709, 690.5, math.inf, math.nan, 0]) for _ in range(4)], [12.0, 12.0, 9, 20, 0.0, -3.0]
+        runs = [run(str(k), 30 * k, 30 * k + 10, rng.choice(ys), rng.choice(sizes)) for k in range(14)]
+        by_line = {}
+        for k, home in enumerate(first_fit(runs)):
+            by_line.setdefault(home, set()).add(str(k))
+        assert sorted(map(sorted, by_line.values())) == sorted(sorted(ln.text.split()) for ln in L.bucket(runs))
+
+
 def test_reflow():
     ln = lambda t, y, c=0: L.Line(t, y, 0, 10, 12, column=c)
     assert L.reflow([ln("a ", 100), ln("b", 88), ln("c", 60), ln("d", 50, 1)]) == "a\nb\n\nc\n\nd"
