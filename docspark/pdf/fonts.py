@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from .objects import Lexer, Name, Stream, number
 from .reader import File
@@ -62,15 +63,16 @@ def _codec(name: str) -> list[str]:
     return [bytes([c]).decode(name, "replace") if c >= 32 else chr(c) for c in range(256)]
 
 
-def base_encoding(name: str | None) -> list[str]:
+@lru_cache
+def base_encoding(name: str | None) -> tuple[str, ...]:
     if name == "WinAnsiEncoding":
-        return ["•" if c == "�" else c for c in _codec("cp1252")]
+        return tuple("•" if c == "�" else c for c in _codec("cp1252"))
     if name == "MacRomanEncoding":
-        return _codec("mac_roman")
+        return tuple(_codec("mac_roman"))
     out = [chr(c) if c < 0x80 else "" for c in range(256)]
     for c, n in STANDARD.items():
         out[c] = SIGNS[n]
-    return [out[c] or chr(c) for c in range(256)]
+    return tuple(out[c] or chr(c) for c in range(256))
 
 
 class CMap:
@@ -171,7 +173,7 @@ class Font:
     def _simple(self, file: File, d: dict) -> None:
         encoding = file.get(d.get("Encoding"))
         base = encoding if isinstance(encoding, Name) else file.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else None
-        self.table = base_encoding(base)
+        self.table = list(base_encoding(base if base in ("WinAnsiEncoding", "MacRomanEncoding") else None))
         if isinstance(encoding, dict):
             code = 0
             for x in file.get(encoding.get("Differences")) or []:
@@ -207,7 +209,7 @@ class Font:
             return self.cmap.text(raw)
         if self.composite:
             return raw[: len(raw) // 2 * 2].decode("utf-16-be", "replace") + ("�" if len(raw) % 2 else "")
-        return "".join(self.table[b] for b in raw)
+        return "".join(map(self.table.__getitem__, raw))
 
     def advance(self, raw: bytes, text: str) -> float:
         """Width in thousandths of the size."""

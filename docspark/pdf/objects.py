@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import NamedTuple
 
 from .errors import malformed
@@ -34,14 +35,16 @@ class Stream:
 
 
 _TOKEN = re.compile(
-    rb"(?P<space>[\x00\t\n\x0c\r ]+|%[^\r\n]*)|(?P<num>[+-]*(?:\d+\.?\d*|\.\d+)(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z))|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
-    rb"|(?P<open><<|\[)|(?P<close>>>|\])|(?P<hex><[0-9A-Fa-f\x00\t\n\x0c\r ]*>?)|(?P<text>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<odd>[)>{}])"
+    rb"(?:[\x00\t\n\x0c\r ]++|%[^\r\n]*+)*+(?:(?P<num>[+-]*(?:\d+\.?\d*|\.\d+)(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z))|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
+    rb"|(?P<open><<|\[)|(?P<close>>>|\])|(?P<hex><[0-9A-Fa-f\x00\t\n\x0c\r ]*>?)|(?P<text>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<odd>[)>{}])|(?P<end>\Z))"
 )
 _ESCAPED = re.compile(rb"\\(?:([nrtbf()\\])|([0-7]{1,3})|(\r\n|\r|\n)|(.)|\Z)", re.S)
 _NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
 _PAREN = re.compile(rb"\\.|[()]", re.S)
 _HEXNAME = re.compile(rb"#([0-9A-Fa-f]{2})")
 MAX_NESTING = 200
+#: Names and words up to this length are kept once read or written, as most come again and again.
+MAX_KEPT = 64
 
 
 def unescape(raw: bytes) -> bytes:
@@ -55,6 +58,25 @@ def unescape(raw: bytes) -> bytes:
     return _ESCAPED.sub(one, raw) if b"\\" in raw else raw.replace(b"\r\n", b"\n")
 
 
+def _number(raw: bytes) -> int | float:
+    if raw.isdigit():
+        return int(raw)
+    sign = -1 if raw.lstrip(b"+").startswith(b"-") else 1
+    raw = raw.lstrip(b"+-")
+    return sign * (float(raw) if b"." in raw else int(raw))
+
+
+@lru_cache(1024)
+def _word(raw: bytes) -> Keyword | bool:
+    word = raw.decode("latin-1")
+    return {"true": True, "false": False}.get(word, Keyword(word))
+
+
+@lru_cache(1024)
+def _name(raw: bytes) -> Name:
+    return Name(_HEXNAME.sub(lambda h: bytes([int(h[1], 16)]), raw[1:]).decode("latin-1"))
+
+
 class Lexer:
     """Reads objects one after another from bytes."""
 
@@ -79,29 +101,20 @@ class Lexer:
         """The next simple object, bracket or word; None at the end."""
         while self.at < self.end:
             m = _TOKEN.match(self.data, self.at, self.end)
-            if m is None:
-                self.at += 1
-                continue
             self.at = m.end()
-            kind, raw = m.lastgroup, m[0]
-            if kind == "space":
-                continue
+            kind = m.lastgroup
             if kind == "num":
-                sign = -1 if raw.lstrip(b"+").startswith(b"-") else 1
-                raw = raw.lstrip(b"+-")
-                return sign * (float(raw) if b"." in raw else int(raw))
-            if kind == "name":
-                return Name(_HEXNAME.sub(lambda h: bytes([int(h[1], 16)]), raw[1:]).decode("latin-1"))
-            if kind == "hex":
-                digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
-                return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+                return _number(m["num"])
+            if kind == "word" or kind == "name":
+                raw, read = m[kind], _word if kind == "word" else _name
+                return read(raw) if len(raw) <= MAX_KEPT else read.__wrapped__(raw)
             if kind == "text":
                 return self.string()
+            if kind == "hex":
+                digits = re.sub(rb"[^0-9A-Fa-f]", b"", m["hex"])
+                return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
             if kind in ("open", "close"):
-                return Keyword(raw.decode())
-            if kind == "word":
-                word = raw.decode("latin-1")
-                return {"true": True, "false": False}.get(word, Keyword(word))
+                return _word(m[kind])
         return None
 
     def object(self, depth: int = 0):
@@ -182,6 +195,11 @@ def format_number(x: float) -> str:
     return f"{x:.5f}".rstrip("0").rstrip(".") if x == x and abs(x) < 1e15 else "0"
 
 
+@lru_cache(1024)
+def _written_name(x: str) -> bytes:
+    return ("/" + "".join(c if "!" <= c <= "~" and c not in _NAME_ODD else f"#{ord(c):02X}" for c in x)).encode("ascii")
+
+
 def write(x) -> bytes:
     """An object as bytes; streams are written by the file writer."""
     if x is None or x is NULL:
@@ -193,7 +211,7 @@ def write(x) -> bytes:
     if isinstance(x, int | float):
         return format_number(x).encode()
     if isinstance(x, Name):
-        return ("/" + "".join(c if "!" <= c <= "~" and c not in _NAME_ODD else f"#{ord(c):02X}" for c in x)).encode("ascii")
+        return _written_name(x) if len(x) <= MAX_KEPT else _written_name.__wrapped__(x)
     if isinstance(x, bytes | bytearray):
         return b"(" + bytes(x).replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r").replace(b"\n", b"\\n") + b")"
     if isinstance(x, Keyword):
