@@ -111,18 +111,30 @@ class Lattice:
         self.rules = rules
         self.xs = boundaries([r[1] for r in rules if r[0]])
         self.ys = boundaries([r[1] for r in rules if not r[0]])[::-1]
+        self.extents: dict[tuple[bool, float], list[tuple[float, float]]] = {}
+
+    def along(self, vertical: bool, at: float) -> list[tuple[float, float]]:
+        """(lo, hi) of the rules at this boundary, looked up once."""
+        found = self.extents.get((vertical, at))
+        if found is None:
+            found = self.extents[vertical, at] = [(low, h) for v, p, low, h in self.rules if v == vertical and abs(p - at) <= GRID_TOL]
+        return found
 
     def ruled(self, vertical: bool, at: float, a: float, b: float) -> bool:
         """Whether one rule at this boundary covers half of a..b or more."""
         lo, hi = min(a, b), max(a, b)
-        return any(v == vertical and abs(p - at) <= GRID_TOL and max(0.0, min(h, hi) - max(low, lo)) >= (hi - lo) / 2 for v, p, low, h in self.rules)
+        half = (hi - lo) / 2
+        for low, h in self.along(vertical, at):
+            if max(0.0, min(h, hi) - max(low, lo)) >= half:
+                return True
+        return False
 
     def closed(self) -> bool:
         if min(len(self.xs), len(self.ys)) < 2 or max(len(self.xs), len(self.ys)) > MAX_BOUNDARIES or (len(self.xs) - 1) * (len(self.ys) - 1) > MAX_CELLS:
             return False
 
         def spanning(vertical: bool, at: list[float], extent: float) -> int:
-            return sum(any(v == vertical and abs(p - b) <= GRID_TOL and h - low >= extent / 2 for v, p, low, h in self.rules) for b in at)
+            return sum(any(h - low >= extent / 2 for low, h in self.along(vertical, b)) for b in at)
 
         return spanning(True, self.xs, self.ys[0] - self.ys[-1]) >= 2 and spanning(False, self.ys, self.xs[-1] - self.xs[0]) >= 2
 
@@ -154,8 +166,9 @@ class _Slots:
 
     def put(self, row: int, made: dict) -> None:
         self.cells[row, made["col"]] = made
-        area = {(row + i, made["col"] + j) for i in range(made["rowspan"]) for j in range(made["colspan"])}
-        self.covered |= area - {(row, made["col"])}
+        if made["rowspan"] > 1 or made["colspan"] > 1:
+            area = {(row + i, made["col"] + j) for i in range(made["rowspan"]) for j in range(made["colspan"])}
+            self.covered |= area - {(row, made["col"])}
 
 
 def ruled_table(rows: list[dict], lattice: Lattice) -> dict | None:
@@ -172,13 +185,13 @@ def ruled_table(rows: list[dict], lattice: Lattice) -> dict | None:
             c = max(0, min(bisect_right(xs, x0 + GRID_TOL), n_cols) - 1)
             while (r, c) in slots.covered and c + 1 < n_cols:
                 c += 1
+            if (r, c) in slots.cells:
+                slots.cells[r, c]["text"] += " " + text
+                continue
             colspan = next((k for k in range(1, n_cols - c) if lattice.ruled(True, xs[c + k], ys[r], ys[r + 1])), n_cols - c)
             left, right = xs[c], xs[c + colspan]
             rowspan = next((k for k in range(1, n_rows - r) if lattice.ruled(False, ys[r + k], left, right)), n_rows - r)
-            if (r, c) in slots.cells:
-                slots.cells[r, c]["text"] += " " + text
-            else:
-                slots.put(r, cell(text, [left, ys[r + rowspan], right, ys[r]], c, colspan, rowspan))
+            slots.put(r, cell(text, [left, ys[r + rowspan], right, ys[r]], c, colspan, rowspan))
     if not slots.cells:
         return None
     grid = [[slots.cells.get((r, c)) or cell("", [xs[c], ys[r + 1], xs[c + 1], ys[r]], c) for c in range(n_cols)] for r in range(n_rows)]
