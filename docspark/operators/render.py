@@ -34,10 +34,13 @@ def render(content: Column, page: Column, *, backend: str = "auto", compress: bo
     make = renderer(backend)
 
     def of(content: pa.Array, page: pa.Array) -> pa.Array:
-        own, out = make(), []
+        own, out, doc, held = make(), [], None, None
         for data, n in zip(content.to_pylist(), page.to_pylist(), strict=True):
             try:
-                bitmap = own.render(Document(data or b""), n, options)
+                if doc is None or data != held:  # pages of one document mostly follow each other
+                    doc, held = None, data
+                    doc = Document(data or b"")
+                bitmap = own.render(doc, n, options)
                 out.append({"width": bitmap.shape[1], "height": bitmap.shape[0], "png": encode_png(bitmap, compress), "error": None})
             except PdfError as e:
                 out.append({"width": None, "height": None, "png": None, "error": e.code})

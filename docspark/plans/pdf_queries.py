@@ -69,12 +69,16 @@ def pdf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("s.error").isNull(), F.concat(F.lit("parts "), pages(0), F.lit(" "), pages(1))).alias("parts"), F.col("s.error").alias("error"))
 
 
-@query(f"with {OPS}, n as (select doc_id, max(page) as n from ops group by doc_id) select doc_id, case when doc_id % 5 = 4 then 'invalid_degrees' end as error, case when doc_id % 5 <> 4 then (((doc_id % 7 - 3) * 90 % 360) + 360) % 360 end::int as rotation from n")
+@query(f"""with {OPS}, n as (select doc_id, max(page) as n from ops group by doc_id)
+select doc_id, null::int as page, 'invalid_degrees' as error, null::int as rotation from n where doc_id % 5 = 4 union all
+select doc_id, unnest(range(1, n + 1))::int as page, null as error, case when unnest(range(1, n + 1)) = n then (((doc_id % 7 - 3) * 90 % 360) + 360) % 360 else 0 end::int as rotation from n where doc_id % 5 <> 4""")
 def pdf_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's last page turned, and the rotations of all its pages."""
     degrees = F.when(F.col("doc_id") % 5 == 4, 45).otherwise((F.col("doc_id") % 7 - 3) * 90).cast("int")
-    turned = documents(spark, sf_dir).select("doc_id", E.rotate_page(F.col("content"), F.lit(1), degrees).alias("r"))
+    turned = documents(spark, sf_dir).select("doc_id", E.rotate_page(F.col("content"), E.page_count(F.col("content")).value, degrees).alias("r"))
     parsed = from_binary(turned.select(F.struct("doc_id", F.col("r.error").alias("error")).alias("own"), F.col("r.value").alias("content")), id="own", want=())
-    return parsed.select("doc_id.doc_id", "doc_id.error", F.get(F.col("pages"), F.lit(0)).rotation.alias("rotation"))
+    pages = parsed.select("doc_id.doc_id", "doc_id.error", F.explode_outer("pages").alias("p"))
+    return pages.select("doc_id", "p.page", "error", "p.rotation")
 
 
 @query(f"with {OPS}, n as (select doc_id, page, count(*) as n from ops group by all), p as (select doc_id, max(page) as last from ops group by doc_id), every_page as (select doc_id, unnest(range(1, last + 1)) as page from p) select doc_id, page::int as page, (coalesce(n, 0) + 1)::bigint as runs, 'SAMPLE' as last_text from every_page left join n using (doc_id, page)")
@@ -84,10 +88,12 @@ def pdf_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "page").agg(F.count("*").alias("runs"), F.max_by("text", "run_ix").alias("last_text"))
 
 
-@query(f"with {OPS} select distinct doc_id, 102::int as width, 132::int as height, '89504e470d0a1a0a' as signature from ops")
+@query(f"with {OPS}, n as (select doc_id, max(page) as n from ops group by doc_id) select doc_id, unnest(range(1, n + 1))::int as page, 102::int as width, 132::int as height, '89504e470d0a1a0a' as signature from n")
 def png_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = documents(spark, sf_dir).select("doc_id", RD.render(F.col("content"), F.lit(1), width=102).alias("i"))
-    return drawn.select("doc_id", "i.width", "i.height", F.lower(F.hex(F.substring("i.png", 1, 8))).alias("signature"))
+    """An image of every page."""
+    pages = documents(spark, sf_dir).select("doc_id", "content", F.explode(F.sequence(F.lit(1), E.page_count(F.col("content")).value)).alias("page"))
+    drawn = pages.select("doc_id", "page", RD.render(F.col("content"), F.col("page"), width=102).alias("i"))
+    return drawn.select("doc_id", "page", "i.width", "i.height", F.lower(F.hex(F.substring("i.png", 1, 8))).alias("signature"))
 
 
 @query(f"with {OPS} select distinct doc_id, case when doc_id % 3 = 0 then 'malformed_pdf' when doc_id % 3 = 1 then 'not_a_pdf' end as code from ops")

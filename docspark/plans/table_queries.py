@@ -74,23 +74,30 @@ def ruled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "page", t["columns"].alias("columns"), F.size(t.rows).alias("rows"), first.colspan.alias("header_colspan"), F.split(first.text, " ")[0].alias("first_cell"))
 
 
-@query(f"""with {CELLS} select doc_id, n::int as rows, 4::int as columns, 1::int as header_rows, 2::int as last_colspan from grids where n >= 2 and page = 0""")
+@query(f"""with {CELLS} select doc_id, (page + 1)::int as page, n::int as rows, 4::int as columns, 1::int as header_rows, 2::int as last_colspan, rows[1][1] as first_cell, rows[n::int][3] as last_cell from grids where n >= 2""")
 def tagged_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first grid of each document as tagged rows: TH in the first, a TD that spans two columns at each row's end."""
-    first = grids(spark, sf_dir).groupBy("doc_id").agg(F.min_by("table", "page").alias("t"))
-    rows = first.select("doc_id", F.size("t.rows").alias("n"), F.posexplode("t.rows").alias("r", "cells"))
-    texts = rows.select("doc_id", "n", "r", F.posexplode("cells").alias("c", "cell"))
-    size = 1 + F.col("n") * 4
-    none = F.lit(None)
-    node = lambda df, ix, parent, last, tag, text, span: df.select("doc_id", ix.cast("int").alias("node_ix"), parent.cast("int").alias("parent_ix"), last.cast("int").alias("last_ix"), tag.alias("tag"), text.cast("string").alias("full_text"), span.cast("int").alias("col_span"), F.lit(1).alias("row_span"), none.cast("array<double>").alias("box"))
-    top = node(first.select("doc_id", F.size("t.rows").alias("n")), F.lit(0), F.lit(-1), size - 1, F.lit("Table"), F.lit(""), F.lit(1))
-    trs = node(rows, 1 + F.col("r") * 4, F.lit(0), 4 + F.col("r") * 4, F.lit("TR"), F.lit(""), F.lit(1))
-    tag = F.when(F.col("r") == 0, "TH").otherwise("TD")
-    cells = node(texts, 2 + F.col("r") * 4 + F.col("c"), 1 + F.col("r") * 4, 2 + F.col("r") * 4 + F.col("c"), tag, F.col("cell.text"), F.when(F.col("c") == 2, 2).otherwise(1))
-    made = TG.tagged_tables(top.unionByName(trs).unionByName(cells))
+    """Every grid as tagged rows: TH in the first, a TD that spans two columns at each row's end. A page's nodes begin at a place of their own."""
+    wide = 1 + R.GRID_ROWS * (1 + R.GRID_COLUMNS)
     t = F.col("table")
-    last = F.get(F.get(t.rows, F.size(t.rows) - 1), F.lit(2))
-    return made.select("doc_id", F.size(t.rows).alias("rows"), t["columns"].alias("columns"), t.header_rows.alias("header_rows"), last.colspan.alias("last_colspan"))
+    found = grids(spark, sf_dir).select("doc_id", ((F.col("page") - 1) * wide).alias("at"), F.size(t.rows).alias("n"), t.rows.alias("rows"))
+    none = F.lit(None)
+
+    def node(ix, parent, last, tag, text, span):
+        return F.struct(ix.cast("int").alias("node_ix"), parent.cast("int").alias("parent_ix"), last.cast("int").alias("last_ix"), tag.alias("tag"), text.cast("string").alias("full_text"), span.cast("int").alias("col_span"), F.lit(1).alias("row_span"), none.cast("array<double>").alias("box"))
+
+    def row(cells, r):
+        tr = F.col("at") + 1 + r * (1 + R.GRID_COLUMNS)
+        cell = lambda x, c: node(tr + 1 + c, tr, tr + 1 + c, F.when(r == 0, "TH").otherwise("TD"), x.text, F.when(c == R.GRID_COLUMNS - 1, 2).otherwise(1))
+        return F.concat(F.array(node(tr, F.col("at"), tr + R.GRID_COLUMNS, F.lit("TR"), F.lit(""), F.lit(1))), F.transform(cells, cell))
+
+    top = node(F.col("at"), F.lit(-1), F.col("at") + F.col("n") * (1 + R.GRID_COLUMNS), F.lit("Table"), F.lit(""), F.lit(1))
+    nodes = found.select("doc_id", F.inline(F.concat(F.array(top), F.flatten(F.transform("rows", row)))))
+    cell = lambda r, c: F.get(F.get(t.rows, r), F.lit(c))
+    end = F.size(t.rows) - 1
+    return TG.tagged_tables(nodes).select(
+        "doc_id", (F.floor(F.col("node_ix") / wide) + 1).cast("int").alias("page"), F.size(t.rows).alias("rows"), t["columns"].alias("columns"), t.header_rows.alias("header_rows"),
+        cell(end, 2).colspan.alias("last_colspan"), cell(F.lit(0), 0).text.alias("first_cell"), cell(end, 2).text.alias("last_cell"),
+    )
 
 
 def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
