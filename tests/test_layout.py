@@ -4,9 +4,11 @@ import math
 import random
 
 import fixtures as X
+import pyarrow as pa
 import pytest
 
 from docspark.core import blocks as B, captions as C, layout as L, tables as T
+from docspark.operators.grouped import values
 from docspark.pdf.document import parse
 
 
@@ -73,6 +75,14 @@ def test_lines_are_first_fit():
         assert sorted(map(sorted, by_line.values())) == sorted(sorted(ln.text.split()) for ln in L.bucket(runs))
 
 
+def test_columns_as_python_values():
+    for column in ([1, None, 3], [1, 2], [1.5, None], [0.5, -0.0], [True, None], [True, False], ["a", None, "é"], [], [[1.0], None], [b"x", None]):
+        a = pa.array(column, pa.int64() if not column else None)
+        assert values(a) == a.to_pylist() == column and list(map(type, values(a))) == list(map(type, column))
+        assert values(a[1:]) == column[1:]
+    assert math.isnan(values(pa.array([math.nan]))[0])
+
+
 def test_reflow():
     ln = lambda t, y, c=0: L.Line(t, y, 0, 10, 12, column=c)
     assert L.reflow([ln("a ", 100), ln("b", 88), ln("c", 60), ln("d", 50, 1)]) == "a\nb\n\nc\n\nd"
