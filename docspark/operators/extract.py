@@ -11,12 +11,12 @@ MAX_PAGES, MIN_TEXT_CHARS, MAX_TEXT_CHARS = 20, 200, 200_000
 SCAN_PAGES = 5000
 
 
-def select_pages(pages: DataFrame, requested: DataFrame | None = None, *, max_pages: int = MAX_PAGES) -> DataFrame:
+def select_pages(pages: DataFrame, requested: DataFrame | None = None, *, max_pages: int | None = MAX_PAGES) -> DataFrame:
     """(doc_id, pos, page, error) of the pages to visit, in order.
 
     pages: doc_id, page. requested: doc_id, pages (array), where a document asks for some: every number is checked
     first, and a document with one out of range gets a single row with error 'page_out_of_range'; order and
-    repetitions stay. Other documents have all their pages. The first max_pages are taken."""
+    repetitions stay. Other documents have all their pages. The first max_pages are taken, all if None."""
     counts = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
     if requested is None:
         asked = counts.withColumn("pages", F.lit(None).cast("array<int>"))
@@ -24,7 +24,8 @@ def select_pages(pages: DataFrame, requested: DataFrame | None = None, *, max_pa
         asked = counts.join(requested.select("doc_id", "pages"), "doc_id", "left")
     wrong = F.exists("pages", lambda p: (p < 1) | (p > F.col("n")))
     listed = F.coalesce(F.col("pages"), F.sequence(F.lit(1), F.col("n")))
-    made = asked.select("doc_id", F.when(wrong, F.array(F.lit(None).cast("int"))).otherwise(F.slice(listed, 1, max_pages)).alias("p"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
+    taken = listed if max_pages is None else F.slice(listed, 1, max_pages)
+    made = asked.select("doc_id", F.when(wrong, F.array(F.lit(None).cast("int"))).otherwise(taken).alias("p"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
     return made.select("doc_id", "wrong", F.posexplode("p").alias("pos", "page")).select("doc_id", "pos", F.col("page").cast("int").alias("page"), F.when(F.col("wrong"), "page_out_of_range").alias("error"))
 
 
@@ -33,11 +34,15 @@ def page_errors(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
 
 
-def join_capped(texts: Column, cap: int) -> Column:
+def join_capped(texts: Column, cap: int | None) -> Column:
     """Struct (text, truncated) of an array of page texts.
 
     Pages are parted by a line end, none before the first text; truncated tells that a character of a page, not just
-    a line end, was left out."""
+    a line end, was left out. Without a cap nothing is."""
+    if cap is None:
+        first = F.array_position(F.transform(texts, lambda t: t != ""), True).cast("int")
+        whole = F.when(first > 0, F.array_join(F.slice(texts, F.greatest(first, F.lit(1)), F.greatest(F.size(texts), F.lit(1))), "\n")).otherwise("")
+        return F.struct(whole.alias("text"), F.lit(False).alias("truncated"))
     from_first = F.aggregate(texts, F.struct(F.lit("").alias("t"), F.lit(0).alias("lost")), lambda acc, p: _take(acc, p, cap))
     return F.struct(from_first.t.alias("text"), (from_first.lost > 0).alias("truncated"))
 
@@ -73,11 +78,12 @@ def render_prefix(pages: DataFrame, *, budget: int = MAX_PIXELS, **image) -> Dat
     return sized.withColumns({"_used": used, "_failed": failed}).select("doc_id", "page", F.col("_d.width").alias("width"), F.col("_d.height").alias("height"), ((F.col("_used") <= budget) & (F.col("_failed") == 0)).alias("rendered"))
 
 
-def extract(page_texts: DataFrame, pages: DataFrame, *, mode: str = "auto", requested: DataFrame | None = None, max_pages: int = MAX_PAGES, min_text_chars: int = MIN_TEXT_CHARS, max_text_chars: int = MAX_TEXT_CHARS, **image) -> DataFrame:
+def extract(page_texts: DataFrame, pages: DataFrame, *, mode: str = "auto", requested: DataFrame | None = None, max_pages: int | None = MAX_PAGES, min_text_chars: int = MIN_TEXT_CHARS, max_text_chars: int | None = MAX_TEXT_CHARS, budget: int | None = MAX_PIXELS, **image) -> DataFrame:
     """(doc_id, text, truncated_text, image_pages, truncated_images, pages_processed, error) of each document.
 
     page_texts: doc_id, page, text (null where a page failed: it counts as empty). pages: doc_id, page, w_pt, h_pt.
-    mode: text, images, both or auto. image: width, height, dpi or scale."""
+    mode: text, images, both or auto. image: width, height, dpi or scale. max_pages, max_text_chars and budget (pixels of
+    all images) bound what is returned; None is no bound."""
     if mode not in ("text", "images", "both", "auto"):
         raise ValueError(f"no mode {mode!r}")
     chosen = select_pages(pages, requested, max_pages=max_pages)
@@ -90,7 +96,8 @@ def extract(page_texts: DataFrame, pages: DataFrame, *, mode: str = "auto", requ
     w = all_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.when(F.col("wants"), F.col("d.width") * F.col("d.height")).otherwise(0)).over(w)
     failed = F.max((F.col("wants") & F.col("d.error").isNotNull()).cast("int")).over(w)
-    rows = rows.withColumns({"_used": used, "_failed": failed}).withColumn("fits", F.col("wants") & (F.col("_used") <= MAX_PIXELS) & (F.col("_failed") == 0))
+    within = F.lit(True) if budget is None else F.col("_used") <= budget
+    rows = rows.withColumns({"_used": used, "_failed": failed}).withColumn("fits", F.col("wants") & within & (F.col("_failed") == 0))
     one = F.array_sort(F.collect_list(F.struct("pos", "page", "text", "wants", "fits")))
     grouped = rows.groupBy("doc_id").agg(one.alias("p"), F.first("error", ignorenulls=True).alias("error"))
     text = F.struct(F.lit("").alias("text"), F.lit(False).alias("truncated")) if mode == "images" else join_capped(F.transform("p", lambda x: x.text), max_text_chars)
