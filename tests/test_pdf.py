@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from docspark.core.layout import group_lines, reflow
+from docspark.operators.edit import _merge
 from docspark.pdf import crypt, filters
 from docspark.pdf.document import Document, parse
 from docspark.pdf.errors import STATUS, PdfError
@@ -55,6 +56,22 @@ def test_impossible_widths_are_refused():
     assert code(parse, b"") == code(parse, b"not a document") == "malformed_pdf"
 
 
+def test_other_streams_may_spell_widths():
+    """Only the dictionary of a cross-reference stream tells its widths, not a text beside it."""
+    b = Builder()
+    b.add_page()
+    b.draw_text(0, "/W[99 -1 17]", (72.0, 700.0))
+    assert text_of(b.save()) == "/W[99 -1 17]"
+
+
+def test_merge_of_documents_whose_bytes_spell_widths():
+    b = Builder()
+    b.add_page()
+    b.draw_text(0, "/W[99 -1 17]", (72.0, 700.0))
+    merged = _merge([X.multi_heading(), b.save(), b.save()])
+    assert Document(merged).page_count == Document(X.multi_heading()).page_count + 2
+
+
 def test_fonts_and_places():
     run = parse(X.type0())["runs"]
     assert len(run) == 1 and abs(run[0]["x1"] - run[0]["x0"] - 30) < 0.6
