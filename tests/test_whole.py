@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -41,3 +43,11 @@ def test_join_without_a_cap(spark, case):
 
     row = spark.createDataFrame([(case,)], "t array<string>").select(EX.join_capped(F.col("t"), None).alias("a"), EX.join_capped(F.col("t"), 100).alias("b")).first()
     assert row.a == row.b
+
+
+@pytest.mark.parametrize("seed", [50065138, 60114698])
+def test_latin_runs_of_documents_whose_bytes_spell_widths(spark, tmp_path, seed):
+    """Compressed, a stream of either document holds /W[ by chance near the cross-reference stream."""
+    r = random.Random(seed)
+    lines = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz éüÄß", k=90)).strip() for _ in range(5)]
+    assert len(is_its_sql(spark, tmp_path, "pdf_latin_runs", [("\n" * 40).join(lines)])) == 5
