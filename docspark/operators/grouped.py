@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Rows of a result batch.
 OUT_ROWS = 4096
+#: Elements of arrays that are Python values at once.
+IN_ITEMS = 65536
 
 
 def values(col: pa.Array) -> list:
@@ -79,5 +81,47 @@ def of_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[st
     return dealt.select(*keys, *columns).mapInArrow(of, ddl)
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut between rows, so that a part's arrays hold IN_ITEMS elements or are one row's."""
+    start, held = 0, 0
+    for i, n in enumerate(b.column(1).value_lengths().to_pylist()):
+        if n and held and held + n > IN_ITEMS:
+            yield b.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    yield b.slice(start)
+
+
+def in_rows(docs: DataFrame, column: str, fields: list[str], work: Callable[[list[list]], Iterable[tuple]], ddl: str) -> DataFrame:
+    """As of_groups with key doc_id, where each row holds its whole group as an array of structs in order: work(columns) gives the result's rows without the key."""
+    schema = StructType.fromDDL(ddl)
+    names, kinds = schema.fieldNames(), [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def of(batches):
+        rows: list[tuple] = []
+        searched = gc.isenabled()
+        gc.disable()
+        try:
+            for b in chain.from_iterable(map(_parts, batches)):
+                parts = b.column(1).flatten()
+                cols = [[None] * len(parts) if c.null_count == len(c) else values(c) for c in parts.flatten()]
+                at = 0
+                for key, n in zip(values(b.column(0)), b.column(1).value_lengths().to_pylist(), strict=True):
+                    end = at + (n or 0)
+                    rows.extend((key, *made) for made in work([c[at:end] for c in cols]))
+                    at = end
+                    if len(rows) >= OUT_ROWS:
+                        yield record_batch(rows, names, kinds)
+                        rows = []
+            if rows:
+                yield record_batch(rows, names, kinds)
+        finally:
+            if searched:
+                gc.enable()
+
+    held = F.transform(column, lambda x: F.struct(*(x[f].alias(f) for f in fields))) if docs.schema[column].dataType.elementType.names != fields else F.col(column)
+    return docs.select("doc_id", held.alias(column)).mapInArrow(of, ddl)
+
+
 def record_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

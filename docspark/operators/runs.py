@@ -60,6 +60,19 @@ def grid_pages(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Da
     return paged.select("doc_id", "page", F.least(F.lit(GRID_ROWS), F.col("rows") - GRID_ROWS * (F.col("page") - 1)).cast("bigint").alias("n"))
 
 
+def grid_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pages): the words of grid_runs as they lie, arrays of cells in arrays of rows in an array of pages; a text without words has none."""
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    full = docs.select(F.col(id).alias("doc_id"), words.alias("w")).where("size(w) > 0")
+    full = full.select("doc_id", F.concat("w", F.array_repeat(F.lit("-"), F.pmod(-F.size("w"), F.lit(GRID_COLUMNS)))).alias("w"))
+
+    def parts(of, n):
+        return F.transform(F.sequence(F.lit(1), F.size(of), F.lit(n)), lambda i: F.slice(of, i, F.lit(n)))
+
+    rows = full.select("doc_id", parts(F.col("w"), GRID_COLUMNS).alias("r"))
+    return rows.select("doc_id", parts(F.col("r"), GRID_ROWS).alias("pages"))
+
+
 def grid_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """All words of a text as table cells of one width: three in a row, the last row filled with dashes, four rows on a page."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")

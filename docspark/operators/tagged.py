@@ -8,13 +8,14 @@ struct_kids: doc_id, node_ix, kid_ix, page, mcid.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema
 from ..core import tables as core
 from ..core.blocks import union
-from .grouped import of_groups
+from .grouped import in_rows, of_groups
 
 #: What a tag stands for in blocks; other tags only hold others.
 PARAGRAPH_TAGS = ("P", "Formula", "BlockQuote", "Quote", "Note", "Reference", "BibEntry")
@@ -107,28 +108,40 @@ def tagged_blocks(nodes: DataFrame, grids: DataFrame | None = None) -> DataFrame
     return out.withColumn("table", F.lit(None).cast(schema.TABLE)).drop("node_ix")
 
 
+def _tables(cols: list[list]) -> Iterator[tuple[int, dict]]:
+    """(node_ix, table) of each Table node among one document's nodes in preorder, given by column."""
+    ix, parents, lasts, tags, texts, boxes, col_spans, row_spans = cols
+    for k, tag in enumerate(tags):
+        if tag != "Table":
+            continue
+        stop, m = bisect_right(ix, lasts[k]), k + 1
+        by_row = []
+        while m < stop:
+            if tags[m] != "TR":
+                m += 1
+                continue
+            own, end = ix[m], min(bisect_right(ix, lasts[m]), stop)
+            by_row.append([{"tag": tags[j], "text": texts[j], "bbox": boxes[j], "col_span": col_spans[j] or 1, "row_span": row_spans[j] or 1} for j in range(m + 1, end) if parents[j] == own and (tags[j] == "TD" or tags[j] == "TH")])
+            m = max(m + 1, end)  # a row inside a row is no row of the table
+        if by_row and (table := core.tagged_table(by_row)):
+            yield ix[k], table
+
+
 def tagged_tables(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_ix, table): the grid of each Table node, from its rows below any wrapper and their TH and TD."""
     doc_ddl = nodes.schema["doc_id"].dataType.simpleString()
 
     def of(key: tuple, cols: list[list]):
-        rows = [dict(zip(CELL_COLUMNS, r, strict=True)) for r in zip(*cols, strict=True)]
-        ix = cols[0]
-        for k, top in enumerate(rows):
-            if top["tag"] != "Table":
-                continue
-            below = rows[k + 1 : bisect_right(ix, top["last_ix"])]
-            by_row, end = [], -1
-            for m, r in enumerate(below):
-                if r["tag"] == "TR" and r["node_ix"] > end:  # a row inside a row is no row of the table
-                    end = r["last_ix"]
-                    by_row.append([_cell(c) for c in below[m + 1 : bisect_right(ix, end) - k - 1] if c["parent_ix"] == r["node_ix"] and c["tag"] in ("TH", "TD")])
-            if by_row and (table := core.tagged_table(by_row)):
-                yield (*key, top["node_ix"], table)
+        for made in _tables(cols):
+            yield (*key, *made)
 
     taken = nodes.where("tag in ('Table', 'TR', 'TH', 'TD')")
     return of_groups(taken, ["doc_id"], ["node_ix"], CELL_COLUMNS, of, f"doc_id {doc_ddl}, node_ix int, table {schema.TABLE}")
 
 
-def _cell(c: dict) -> dict:
-    return {"tag": c["tag"], "text": c["full_text"], "bbox": c["box"], "col_span": c["col_span"] or 1, "row_span": c["row_span"] or 1}
+def tagged_tables_in(docs: DataFrame) -> DataFrame:
+    """tagged_tables of documents that hold their nodes (doc_id, nodes: an array in preorder with CELL_COLUMNS): nothing is shuffled or sorted.
+
+    A document may come in several rows, if none parts a table."""
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node_ix int, table {schema.TABLE}"
+    return in_rows(docs, "nodes", CELL_COLUMNS, _tables, ddl)

@@ -51,3 +51,34 @@ def test_latin_runs_of_documents_whose_bytes_spell_widths(spark, tmp_path, seed)
     r = random.Random(seed)
     lines = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz éüÄß", k=90)).strip() for _ in range(5)]
     assert len(is_its_sql(spark, tmp_path, "pdf_latin_runs", [("\n" * 40).join(lines)])) == 5
+
+
+def test_tagged_tables_of_nested_nodes(spark):
+    """Nodes held in an array give the tables of flat ones: rows in wrappers and in rows, spans, and documents without a table."""
+    from docspark.operators import tagged as TG
+
+    node = "struct<node_ix:int,parent_ix:int,last_ix:int,tag:string,full_text:string,box:array<double>,col_span:int,row_span:int>"
+    tree = [
+        (0, -1, 9, "Table", "", None, None, None), (1, 0, 9, "TBody", "", None, None, None), (2, 1, 4, "TR", "", None, None, None), (3, 2, 3, "TH", "a", [1.0, 2.0, 3.0, 4.0], None, 2), (4, 2, 4, "TH", "b", None, 1, 1),
+        (5, 1, 9, "TR", "", None, None, None), (6, 5, 9, "TD", "c", None, 2, None), (7, 6, 9, "TR", "", None, None, None), (8, 7, 8, "TD", "inner", None, None, None), (9, 7, 9, "TD", "x", None, None, None),
+        (10, -1, 11, "Table", "", None, None, None), (11, 10, 11, "P", "no row", None, None, None),
+    ]
+    docs = spark.createDataFrame([(1, tree), (2, []), (3, None), (4, tree[:5])], f"doc_id bigint, nodes array<{node}>")
+    flat = TG.tagged_tables(docs.selectExpr("doc_id", "inline(nodes)")).collect()
+    held = TG.tagged_tables_in(docs).collect()
+    assert sorted(map(str, flat)) == sorted(map(str, held)) and sorted((r.doc_id, r.node_ix) for r in held) == [(1, 0), (4, 0)]
+
+
+def test_tagged_grid_is_its_sql_on_odd_rows(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 3, 4, 12, 13, 15, 16, 700)] + [None, " \n ", "ä\tb\r\nc  d e"]
+    is_its_sql(spark, tmp_path, "tagged_grid", texts)
+
+
+def test_batches_are_cut_between_rows(monkeypatch):
+    from docspark.operators import grouped as G
+
+    monkeypatch.setattr(G, "IN_ITEMS", 3)
+    b = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5, 6], "a": pa.array([[1, 2], [3], [4, 5, 6, 7], None, [], [8]], pa.list_(pa.int64()))})
+    parts = list(G._parts(b))
+    assert [p.column(0).to_pylist() for p in parts] == [[1, 2], [3, 4, 5], [6]]
+    assert [p.column(1).flatten().to_pylist() for p in parts] == [[1, 2, 3], [4, 5, 6, 7], [8]]
