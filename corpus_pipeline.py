@@ -2,8 +2,8 @@
 
 quality rules -> near-dedup -> benchmark decontamination -> secret scans -> packing. Documents that the
 quality rules reject, all but the smallest doc_id of a group of near copies (five-word similarity of 0.8 or more), and documents that hold a benchmark
-passage go; secrets are replaced in the text; what is left is packed. Near copies come from the index of op9 over a
-wider sketch (docspark.llm.near_copies): 64 bits cannot tell a similarity of 0.8.
+passage go; secrets are replaced in the text; what is left is packed. Near copies come from op9's links and from its
+index over a wider sketch (docspark.llm.near_copies), as 64 bits cannot tell a similarity of 0.8; the sets of shingles decide.
 
 Defined results: a null text fails the quality rules' base test and goes; rows with a null doc_id are documents like
 any other, and stay behind those with an id where they are near copies; repeated rows are exact copies, of which one

@@ -1,6 +1,10 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-This is the index of simhash_dedup over a wider sketch. Fingerprints of 64 bits differ in 3 to 11 bits or more at this
+SimHash comes first, every step of it: fingerprints, lists by byte positions, the tally of shared ones, verified bits and
+components (simhash_dedup). What it links within 2 bits is a list of its own, whose members' sets are compared as in any
+other, since fingerprints may be near where the sets are not.
+
+The other lists are of the same index over a wider sketch. Fingerprints of 64 bits differ in 3 to 11 bits or more at this
 similarity, where their 8 bytes need share none; a sketch of 128 positional bytes, the low bytes of 128 minima of the
 set under as many hashes, shares each with a chance of 0.8 or more. Positions are joined to 32 blocks of 4, whose whole
 minima name a list: a pair at the threshold meets in no list with a chance of (1 - 0.8^4)^32 = 5e-8, and a closer pair
@@ -25,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import as_bytes, bounded_batches, materialize
-from .simhash_dedup import components, shingle_hashes
+from . import simhash_dedup
+from .simhash_dedup import components, fingerprint, shingle_hashes
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -80,7 +85,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return low * both >= up * (len(a) + len(b) - both)
 
 
-_SKETCH = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SKETCH = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("fp", pa.int64())])
 
 
 def _sketch(text: pa.Array) -> pa.Array:
@@ -88,7 +93,7 @@ def _sketch(text: pa.Array) -> pa.Array:
     for x in as_bytes(text):
         found = shingles(x)
         least = minima(found)
-        out.append({"node": _signed(xxhash.xxh64_intdigest(found.tobytes())), "bands": bands(least), "sketch": sketch(least)})
+        out.append({"node": _signed(xxhash.xxh64_intdigest(found.tobytes())), "bands": bands(least), "sketch": sketch(least), "fp": _signed(fingerprint(x))})
     return pa.array(out, _SKETCH)
 
 
@@ -173,9 +178,21 @@ def _dealt(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "later", "node").mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
-def _lists(nodes: DataFrame) -> DataFrame:
+def band_postings(nodes: DataFrame) -> DataFrame:
+    """(posting, node): the lists of the wider sketch."""
+    return nodes.select(F.explode("bands").alias("posting"), "node")
+
+
+def fingerprint_postings(spark: SparkSession, fingerprints: DataFrame) -> DataFrame:
+    """(posting, node) of rows (node, fp): a list for each component of fingerprints that SimHash links."""
+    distinct = materialize(spark, fingerprints.select("fp").distinct(), "fingerprints")
+    roots = components(simhash_dedup.links(distinct)).select(F.col("node").alias("_fp"), "root")
+    named = fingerprints.join(roots, F.col("fp") == F.col("_fp"), "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("posting"), "node").distinct()
+    return materialize(spark, named, "fingerprint-postings")
+
+
+def _lists(postings: DataFrame) -> DataFrame:
     """(list, node, leader, cells, cell): members of every list of two or more; of lists of the same members one stays."""
-    postings = nodes.select(F.explode("bands").alias("posting"), "node")
     told = [F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     kept = postings.groupBy("posting").agg(*told).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min("posting").alias("list"))
     cells = F.ceil(F.col("n") / CELL).cast("bigint")
@@ -211,11 +228,12 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
     bounded_batches(spark)
     name = {"_docspark_id": F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)), "_docspark_key": F.xxhash64(F.col(id).isNull(), F.col(text))}
     row = ["_docspark_id", "_docspark_key"]
-    sketched = F.arrow_udf(_sketch, "struct<node:bigint,bands:array<bigint>,sketch:binary>").asNondeterministic()
+    sketched = F.arrow_udf(_sketch, "struct<node:bigint,bands:array<bigint>,sketch:binary,fp:bigint>").asNondeterministic()
     own = docs.select(F.col(id).isNull().alias("_docspark_null"), *(c.alias(k) for k, c in name.items()), sketched(F.col(text)).alias("s"))
     marked = materialize(spark, own.select("_docspark_null", *row, "s.*"), "sketches")
     nodes = materialize(spark, marked.groupBy("node").agg(F.min(F.struct("_docspark_null", *row)).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    lists = materialize(spark, _lists(nodes), "lists")
+    linked = fingerprint_postings(spark, marked.select("node", "fp").distinct())
+    lists = materialize(spark, _lists(band_postings(nodes).unionAll(linked)), "lists")
     wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "sketch", *(F.col(f"first.{c}").alias(c) for c in row))
     texts = docs.withColumns(name).select(*row, F.col(text).alias("text")).join(wanted, row).groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
     sets = materialize(spark, texts.select("node", F.arrow_udf(_set, "binary")(F.col("text")).alias("found"), "sketch"), "sets")
