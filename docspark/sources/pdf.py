@@ -1,7 +1,8 @@
 """PDF documents as tables: one parse for each document inside a task, then plain DataFrames.
 
-A document that cannot be read is a row with an error (code, message); no document fails a job. Files are read by
-Spark's binary reader, so any file system that Spark reaches will do.
+A document that cannot be read is a row with an error (code, message); no document fails a job, but a worker that runs
+out of memory fails its task, as the document may be sound. Files are read by Spark's binary reader, so any file system
+that Spark reaches will do.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ def from_binary(docs: DataFrame, *, id: str = "doc_id", content: str = "content"
                     got = parse(content, own if own is not None else password, pages=pages, max_pages=max_pages, want=want)
                 except PdfError as e:
                     error = {"code": e.code, "message": e.message}
+                except MemoryError:  # tells of the worker: with a row for it, a sound document's runs would be gone without a word
+                    raise
                 except Exception as e:  # one broken document is a row, not a failed job
                     error = {"code": "internal", "message": f"{type(e).__name__}: {e}"[:300]}
                 rows.append([doc, error, got.get("meta"), got.get("tagged"), *(got.get(k) for k in NESTED)])

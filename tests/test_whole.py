@@ -53,6 +53,39 @@ def test_latin_runs_of_documents_whose_bytes_spell_widths(spark, tmp_path, seed)
     assert len(is_its_sql(spark, tmp_path, "pdf_latin_runs", [("\n" * 40).join(lines)])) == 5
 
 
+def test_no_document_is_lost_where_memory_is_short(spark, monkeypatch):
+    """A worker's lack of memory fails the task; it is no error of the document, whose runs would be missing."""
+    from docspark.sources import pdf
+
+    def short(*args, **options):
+        raise MemoryError
+
+    monkeypatch.setattr(pdf, "parse", short)
+    docs = spark.createDataFrame([(1, bytearray(b"%PDF-1.7"))], "doc_id bigint, content binary")
+    with pytest.raises(Exception, match="MemoryError"):
+        pdf.parsed_tables(pdf.from_binary(docs, want=("runs",)))["runs"].collect()
+
+
+def test_a_long_string_is_decoded_without_an_item_for_each_byte():
+    import tracemalloc
+
+    from docspark.pdf.document import Document
+    from docspark.pdf.fonts import Font
+    from docspark.pdf.objects import Name
+    from docspark.pdf.writer import Builder
+
+    b = Builder()
+    b.add_page()
+    font = Font(Document(b.save()).file, {"Subtype": Name("Type1"), "Encoding": Name("WinAnsiEncoding")})
+    text = "aé(ÿ" * 250_000
+    raw = text.encode("cp1252")
+    tracemalloc.start()
+    got = font.text(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == text and peak < 6 * len(raw)
+
+
 def test_tagged_tables_of_nested_nodes(spark):
     """Nodes held in an array give the tables of flat ones: rows in wrappers and in rows, spans, and documents without a table."""
     from docspark.operators import tagged as TG
